@@ -3,7 +3,7 @@
 Every prefix of a byte string has one encoding, and so one last token. The table of last tokens
 is filled from left to right: token t that ends at byte i is the last one there if, before it,
 the last token p makes (p, t) a pair that BPE leaves apart, that is, if p + t is encoded as
-p, t. Since all adjacent pairs of an encoding are of this kind, and no other tokens are, this
+p, t; this is told by taking back the merges of both. Since all adjacent pairs of an encoding are of this kind, and no other tokens are, this
 gives the encoding that merging by rank gives, in time that is linear in the bytes. The table
 makes appends exact, and an edit recomputes from its place only.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 class Vocabulary:
     """Ranks of byte strings, with the automaton that finds all tokens ending at each byte."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, *, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, keep: int = 200_000):
         self.ranks, self.pattern, self.keep = ranks, regex.compile(pattern), keep
         self.tokens, self.longest = {n: t for t, n in ranks.items()}, max(map(len, ranks))
         self.found = ahocorasick.Automaton()
-        for token in ranks:
-            self.found.add_word(token.decode("latin-1"), token)
+        for token, rank in ranks.items():
+            self.found.add_word(token.decode("latin-1"), (rank, len(token)))
         self.found.make_automaton()
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
 
     @classmethod
@@ -46,24 +47,39 @@ class Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
-    def apart(self, left: bytes, right: bytes) -> bool:
-        """Whether BPE encodes left + right as these two tokens (left may be empty: as this one)."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= self.keep:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """The encoding by merging, which pairs of tokens are tested with: the lowest rank first, then the leftmost."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(self.ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if parts[at] + parts[at + 1] not in self.ranks:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def split(self, rank: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one, itself twice for a byte; None if merging its bytes doesn't make it."""
+        if rank not in self.halves:
+            data = self.tokens[rank]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                best, at = min((self.ranks.get(a + b, len(self.ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if best == len(self.ranks):
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[rank] = None if len(parts) > 2 else (self.ranks[parts[0]], self.ranks[parts[-1]])
+        return self.halves[rank]
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether BPE leaves these two tokens apart where they meet.
+
+        Their merges are taken back, the latest first. At each step the two parts that meet stood side by
+        side until then: had their own merge been due before the one taken back, it would have come first.
+        """
+        halves, tokens, ranks = self.halves, self.tokens, self.ranks
+        due = len(ranks)  # merges of a lower rank came first; of equal ranks, the one on the left
+        while True:
+            across = ranks.get(tokens[left] + tokens[right], due)
+            if across < due and self.split(across) == (left, right):
+                return False
+            first, second = halves.get(left) or self.split(left), halves.get(right) or self.split(right)
+            left_whole, right_whole = first[0] != left, second[0] != right
+            if left_whole and (left > right or not right_whole):
+                due, left = left, first[1]
+            elif right_whole:
+                due, right = right + 1, second[0]
+            else:
+                return True
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -71,14 +87,15 @@ class Vocabulary:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        known = self.pieces
         for piece in self.pattern.findall(text):
-            ids = self.pieces.get(piece)
+            ids = known.get(piece)
             if ids is None:
                 ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
                 if len(piece) <= 64:
-                    if len(self.pieces) >= self.keep:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
+                    if len(known) >= self.keep:
+                        known.clear()
+                    known[piece] = ids
             out += ids
         return out
 
@@ -87,11 +104,33 @@ class Vocabulary:
 
 
 class Prefixes:
-    """The last token of every prefix of a byte string, which may grow and be edited."""
+    """The last token's rank for every prefix of a byte string, which may grow and be edited; -1 for the empty prefix."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.of, self.data, self.last = vocabulary, b"", [b""]
-        self.append(data)
+        self.of, self.data, self.last = vocabulary, data, [-1] * (len(data) + 1)
+        self._fill(0, 0, None)
+
+    def _fill(self, begin: int, known: int, settled: Callable[[int], bool] | None) -> None:
+        """Fill the table behind prefix `known`, looking for tokens from byte `begin` on; stop where settled(prefix) says so."""
+        of, last = self.of, self.last
+        pairs, apart, split = of.pairs, of.apart, of.split
+        if len(pairs) >= of.keep:
+            pairs.clear()
+        done = known
+        for at, (rank, length) in of.found.iter(self.data[begin:].decode("latin-1")):
+            stop = begin + at + 1
+            if stop <= done:
+                continue
+            before = last[stop - length]
+            fits = pairs.get((before, rank))
+            if fits is None:
+                if stop > length and before < 0:
+                    continue
+                fits = pairs[before, rank] = split(rank) is not None and (before < 0 or apart(before, rank))
+            if fits and (before >= 0 or stop == length):
+                last[stop], done = rank, stop
+                if settled is not None and settled(stop):
+                    return
 
     def append(self, more: bytes) -> None:
         self.splice(len(self.data), len(self.data), more)
@@ -105,28 +144,26 @@ class Prefixes:
         """
         old, shift, longest = self.last, start + len(new) - end, self.of.longest
         self.data = self.data[:start] + new + self.data[end:]
-        self.last = [*self.last[: start + 1], *[b""] * (len(self.data) - start)]
-        begin, same, passed = max(0, start - longest), 0, start
-        for at, token in self.of.found.iter(self.data[begin:].decode("latin-1")):
-            stop = begin + at + 1
-            before = stop - len(token)
-            if stop <= start or self.last[stop] or (before and not self.last[before]) or not self.of.apart(self.last[before], token):
-                continue
-            self.last[stop] = token
-            if stop > start + len(new):
-                same = same + 1 if old[stop - shift] == token and passed == stop - 1 else int(old[stop - shift] == token)
-                passed = stop
-                if same >= longest:
-                    self.last[stop + 1 :] = old[stop - shift + 1 :]
-                    return
-            else:
-                passed = stop
+        self.last = [*old[: start + 1], *[-1] * (len(self.data) - start)]
+        same = 0
+
+        def settled(stop: int) -> bool:
+            nonlocal same
+            if stop <= start + len(new):
+                return False
+            same = same + 1 if old[stop - shift] == self.last[stop] else 0
+            if same < longest:
+                return False
+            self.last[stop + 1 :] = old[stop - shift + 1 :]
+            return True
+
+        self._fill(max(0, start - longest), start, settled)
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.data)
+        out, at, last, tokens = [], len(self.data), self.last, self.of.tokens
         while at:
-            out.append(self.of.ranks[self.last[at]])
-            at -= len(self.last[at])
+            out.append(last[at])
+            at -= len(tokens[last[at]])
         return out[::-1]
 
 
