@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._shared import durable, small
+
 #: Elements that end a line of a page's text, and those whose content isn't text.
 BLOCKS = "p|div|li|ul|ol|h[1-6]|br|nav|article|section|header|footer|table|tr|td|th|title|body|head|html"
 HIDDEN = "script|style"
@@ -63,7 +65,10 @@ def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", *, sha
 def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", *, share: float = 0.2, pages_least: int = 2) -> DataFrame:
     """pages with the boilerplate lines of their site taken out of `text`, and `lines_dropped`, how many."""
     sites = boilerplate(pages, host, text, share=share, pages_least=pages_least).select(F.col("host").alias("_host"), F.col("lines").alias("_boilerplate"))
-    joined = pages.join(sites, F.col(host) == F.col("_host"), "left")
+    sites = durable(sites)
+    n_lines = sites.agg(F.sum(F.size("_boilerplate"))).first()[0] or 0
+    # Few lines are broadcast; for more, the join has a bare exchange on either side, so that Spark can split a hot host.
+    joined = pages.join(small(sites, n_lines), F.col(host) == F.col("_host"), "left")
     lines = _lines(F.col(text))
     left = F.filter(lines, lambda x: ~F.array_contains(F.col("_boilerplate"), _key(x)) | (F.trim(x, F.lit(" \t\r")) == ""))
     kept = F.when(F.col("_boilerplate").isNull() | F.col(text).isNull(), lines).otherwise(left)
