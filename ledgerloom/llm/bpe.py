@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import ahocorasick
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 class Vocabulary:
     """Ranks of byte strings, with the automaton that finds all tokens ending at each byte."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, *, keep: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, keep: int = 300_000):
         self.ranks, self.pattern, self.keep = ranks, regex.compile(pattern), keep
         self.tokens, self.longest = {n: t for t, n in ranks.items()}, max(map(len, ranks))
         self.found = ahocorasick.Automaton()
@@ -39,7 +40,7 @@ class Vocabulary:
         self.found.make_automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -81,22 +82,22 @@ class Vocabulary:
             else:
                 return True
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else Prefixes(self, piece).ids()
+        return (whole,) if whole is not None else tuple(Prefixes(self, piece).ids())
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.pieces
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= 64:
-                    if len(known) >= self.keep:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
+        pieces, known = self.pattern.findall(text), self.pieces
+        if len(known) >= self.keep:  # the older half goes
+            for piece in list(islice(known, len(known) // 2)):
+                del known[piece]
+        new = set(pieces).difference(known)
+        for piece in new:
+            known[piece] = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        out = list(chain.from_iterable(map(known.__getitem__, pieces)))
+        for piece in new:
+            if len(piece) > 64:
+                del known[piece]
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
