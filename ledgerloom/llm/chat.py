@@ -7,7 +7,8 @@ smallest id, and an anti-join against the prefix hashes of longer ones leaves th
 conversations. These are rendered in a chat-template form.
 
 Everything is DataFrame functions. Hot prefixes (one first turn in a third of all logs) are
-reduced by a map-side distinct before the join, and equal conversations by a map-side minimum.
+reduced by a map-side distinct before the join, and equal conversations by a map-side minimum;
+only hashes and keys take part in these, and the turns, dealt out by conversation once, join what is left.
 A conversation's turns meet in one task, as they must to be rendered as one text.
 
 Defined results: turns are in order of (turn, role, text), nulls first; repeated rows are
@@ -35,19 +36,24 @@ def rolling(turns: Column) -> Column:
 
 
 def conversations(logs: DataFrame) -> DataFrame:
-    """(conv_id, turns): one row for each conversation of logs (conv_id, turn, role, text)."""
+    """(key, conv_id, turns): one row for each conversation of logs (conv_id, turn, role, text)."""
     role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
-    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text", F.monotonically_increasing_id()))
-    keyed = logs.select("conv_id", alone.alias("_alone"), F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
-    return keyed.groupBy("conv_id", "_alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", "turns")
+    # One key column stands for both, so that all that follows shares one shuffle.
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    keyed = logs.select(key.alias("key"), F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
+    whole = keyed.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    own = F.when(F.col("key").startswith("="), F.substring("key", 2, 1 << 30).cast(logs.schema["conv_id"].dataType))
+    return whole.select("key", own.alias("conv_id"), "turns")
 
 
 def maximal(logs: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, turns) of the conversations that are no proper prefix of another."""
     whole = conversations(logs).withColumn("_hashes", rolling("turns")).withColumn("_hash", F.element_at("_hashes", -1))
-    unique = whole.groupBy("_hash").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"), F.first("turns").alias("turns"))
+    first = F.min_by("key", F.struct(F.col("conv_id").isNull(), F.col("conv_id"), F.col("key")))
+    unique = whole.groupBy("_hash").agg(first.alias("key"), F.count(F.lit(1)).alias("n_copies"))
     prefixes = whole.select(F.explode(F.slice("_hashes", 1, F.size("_hashes") - 1)).alias("_hash")).distinct()
-    return unique.join(prefixes, "_hash", "left_anti").select("conv_id", F.size("turns").alias("n_turns"), "n_copies", "turns")
+    kept = unique.join(prefixes, "_hash", "left_anti").select("key", "n_copies")
+    return whole.join(kept, "key").select("conv_id", F.size("turns").alias("n_turns"), "n_copies", "turns")
 
 
 def render(kept: DataFrame) -> DataFrame:
