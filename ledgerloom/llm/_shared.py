@@ -47,6 +47,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def short_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Have whole texts sent to Python in Arrow batches of `most` bytes or little more, where the session allows more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":  # Spark's default, which a worker holds several times
+        spark.conf.set(name, most)
+
+
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; else unhinted, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df

@@ -24,14 +24,16 @@ from itertools import chain, islice
 import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._shared import short_batches
+
 
 class Vocabulary:
     """Ranks of byte strings, with the automaton that finds all tokens ending at each byte."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, *, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, keep: int = 120_000):
         self.ranks, self.pattern, self.keep = ranks, regex.compile(pattern), keep
         self.tokens, self.longest = {n: t for t, n in ranks.items()}, max(map(len, ranks))
         self.found = ahocorasick.Automaton()
@@ -115,7 +117,7 @@ class Prefixes:
         """Fill the table behind prefix `known`, looking for tokens from byte `begin` on; stop where settled(prefix) says so."""
         of, last = self.of, self.last
         pairs, apart, split = of.pairs, of.apart, of.split
-        if len(pairs) >= of.keep:
+        if len(pairs) >= 2 * of.keep:
             pairs.clear()
         done = known
         for at, (rank, length) in of.found.iter(self.data[begin:].decode("latin-1")):
@@ -181,6 +183,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 def encode(texts: Column, path: str, pattern: str) -> Column:
     """The ids of each text, an array of ints. path: the ranks, on every executor."""
 
+    short_batches(SparkSession.active())
+
     @F.pandas_udf("array<int>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = vocabulary(path, pattern)
@@ -193,6 +197,8 @@ def encode(texts: Column, path: str, pattern: str) -> Column:
 def digests(texts: Column, path: str, pattern: str) -> Column:
     """A struct (n_tokens, ids_sha256, decoded_sha256) of each text: encoded, and decoded from its ids."""
 
+    short_batches(SparkSession.active())
+
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = vocabulary(path, pattern)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import order_key
+from ledgerloom.llm._shared import order_key, short_batches
 
 #: What a text is rejected below, of the score (see Model.predict).
 MARGIN = 0.01
@@ -103,5 +103,6 @@ def predict(texts: Column, model: Model) -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang) with held_out, lang_pred, score and rejected; learns from those not held out."""
+    short_batches(docs.sparkSession)
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
     return docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("_p", predict(F.col("text"), model)).select("*", "_p.*").drop("_p")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import durable, small
+from ledgerloom.llm._shared import durable, short_batches, small
 
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
@@ -278,6 +278,7 @@ def classes(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFr
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) of docs (doc_id, text); fingerprint in 16 hex digits."""
+    short_batches(docs.sparkSession)
     prints = durable(docs.select("doc_id", fingerprints(F.col("text"), words, seed).alias("fp")))
     found = classes(prints, lambda x: links(x, radius))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

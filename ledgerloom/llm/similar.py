@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import durable, small
+from ledgerloom.llm._shared import durable, short_batches, small
 from ledgerloom.llm.simhash import classes, planes, shingle_hashes, within
 
 # Fixed values of the splitmix64 generator: its step and the multipliers of its output function.
@@ -172,6 +172,7 @@ def links(unique: DataFrame, n: int, *, words: int, similarity: float, recall: f
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """(doc_id, component_id) of docs (doc_id, text): texts linked at `similarity` or more, directly or by others."""
+    short_batches(docs.sparkSession)
     prints = docs.select("doc_id", wide_fingerprints(F.col("text"), shingle, words).alias("wide"))
     prints = durable(prints.select("doc_id", F.xxhash64("wide").alias("fp"), "wide"))
     unique = durable(prints.select("fp", "wide").dropDuplicates(["fp"]))
