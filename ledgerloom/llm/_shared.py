@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The words of every word-based operator: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Files of a kept table of narrow rows.
+LEAST_FILES, ROWS_A_FILE = 8, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no rerun."""
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs no rerun.
+
+    rows: about how many narrow rows it has at most, if that is known: then it is kept in few files, not one for
+    each shuffle partition.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))).checkpoint()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -215,7 +215,7 @@ def links(distinct: DataFrame, radius: int = 2, *, band_bits: int = 16, most: in
     choices = list(combinations(range(len(cuts)), len(cuts) - radius))
     fixed = [[x for i in c for x in cuts[i]] for c in choices]
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), _value(F.col("fp"), bits).alias("value")) for i, bits in enumerate(fixed)])).alias("k")).select("fp", "k.choice", "k.value")
-    sizes = durable(keyed.groupBy("choice", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sizes = durable(keyed.groupBy("choice", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), len(choices) * distinct.count())
     blocks = [_gather(keyed, sizes.filter(F.col("n") <= most), ["choice", "value"])]
     hot = sizes.filter(F.col("n") > most)
     n_hot = hot.count()
@@ -239,25 +239,26 @@ def _gather(keyed: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.join(sizes.select(*keys), keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps")).select("fps")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, nodes: int | None = None, rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node that each node of edges (src, dst) reaches.
 
     Alternating stars: each node's larger neighbours are linked to its smallest one, then its
     smaller neighbours are, until every node hangs on its root. A step is a group-by on nodes
     with a minimum, so a hub is combined before it is shuffled; it is kept in the shared folder.
+    nodes: how many there are at most, if known.
     """
-    now = durable(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).filter("hi <> lo").distinct())
-    before = None
+    now = durable(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).filter("hi <> lo").distinct(), nodes and 4 * nodes)
+    n, before = now.count(), None
     for _ in range(rounds):
         # Large star: every larger neighbour of a node to the node's smallest neighbour or itself.
         both = now.select(F.col("hi").alias("node"), F.col("lo").alias("near")).unionByName(now.select(F.col("lo").alias("node"), F.col("hi").alias("near")))
-        least = durable(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("m")))
+        least = durable(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("m")), 2 * n)
         large = both.filter("near > node").join(least, "node").select(F.col("near").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: a node and its smaller neighbours to the smallest of them.
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pairs = large.join(low, "hi")
         star = pairs.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
-        now = durable(star)
+        now = durable(star, 2 * n)
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
@@ -267,11 +268,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def classes(prints: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """prints (doc_id, fp, kept in the shared folder) with component_id, by the links that `find` gives for distinct fps."""
-    unique = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(find(unique.select("fp")))
+    unique = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), prints.count())
+    n = unique.count()
+    roots = components(find(unique.select("fp")), n)
     rooted = unique.join(roots, unique.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = durable(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = durable(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    least = durable(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), n)
+    named = durable(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), n)
     # A group of copies may be a third of the documents; named has one row for it, so Spark can split the join.
     return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 

@@ -158,7 +158,7 @@ def links(unique: DataFrame, n: int, *, words: int, similarity: float, recall: f
 
     keyed = unique.select("fp", "wide").mapInArrow(meet, f"key long, fp long, {row}")
     gather = lambda df, keys: df.groupBy(*keys).agg(F.collect_list(F.struct("fp", *names)).alias("block")).filter(F.size("block") > 1).select("block")
-    large = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))
+    large = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), n * len(bands) // 4)
     n_large = large.count()
     if not n_large:
         return gather(keyed, ["key"]).mapInArrow(compare, "src long, dst long").distinct()
@@ -175,6 +175,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     short_batches(docs.sparkSession)
     prints = docs.select("doc_id", wide_fingerprints(F.col("text"), shingle, words).alias("wide"))
     prints = durable(prints.select("doc_id", F.xxhash64("wide").alias("fp"), "wide"))
-    unique = durable(prints.select("fp", "wide").dropDuplicates(["fp"]))
+    unique = durable(prints.select("fp", "wide").dropDuplicates(["fp"]), 2 * prints.count())
     n = unique.count()
     return classes(prints.select("doc_id", "fp"), lambda _: links(unique, n, words=words, similarity=similarity)).select("doc_id", "component_id")
