@@ -22,7 +22,7 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
     for c in df.columns:
         if pd.api.types.is_integer_dtype(df[c]) or pd.api.types.is_bool_dtype(df[c]):
-            df = df.assign(**{c: df[c].astype("int64")})
+            df = df.assign(**{c: df[c].astype("float64" if df[c].isna().any() else "int64")})
         elif df[c].dtype == object and len(df) and hasattr(df[c].iloc[0], "__len__") and not isinstance(df[c].iloc[0], str):
             df = df.assign(**{c: df[c].map(lambda v: None if v is None else str(list(v)))})
     return df.sort_values(list(df.columns), ignore_index=True)
