@@ -68,4 +68,29 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_chat_formatting, op2_warc, op3_mixing, op4_simhash, op5_language_id, op6_top_k, op7_bpe, op8_line_dedup, op9_ann, op10_sharding)
 }
 
-ORACLES: dict[str, str] = {}
+#: The letters of base32 (RFC 4648).
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_LETTERS = " || ".join(f"substr('{BASE32}', (v >> {shift} & 31) + 1, 1)" for shift in (15, 10, 5, 0))
+_TRIMMED = "trim(x, ' ' || chr(9) || chr(13))"
+_LEFT = f"CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: {_TRIMMED} = '' OR NOT list_contains(bad, {_TRIMMED})) END"
+
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": rf"""WITH c AS (SELECT conv_id, list({{'r': coalesce(role, 'unknown'), 'x': coalesce(text, '')}} ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS turns FROM conversations GROUP BY conv_id),
+p AS (SELECT DISTINCT turns[1:i] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS i FROM c)), u AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n FROM c GROUP BY turns)
+SELECT conv_id, len(turns)::INTEGER AS n_turns, n AS n_copies, array_to_string(list_transform(turns, lambda t: '{chat.OPEN}' || replace(t.r, '<|', '<\|') || chr(10) || replace(t.x, '<|', '<\|') || '{chat.CLOSE}'), chr(10)) AS rendered
+FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.turns = u.turns)""",
+    "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages),
+d AS (SELECT page_id, string_agg({_LETTERS}, '' ORDER BY k) AS digest FROM (SELECT page_id, k, ('0x' || substr(x, (5 * k + 1)::INTEGER, 5))::BIGINT AS v FROM p, range(8) r(k)) GROUP BY page_id)
+SELECT p.page_id, strlen(h)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN p.page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> f THEN f END AS refers_to FROM p JOIN d ON d.page_id = p.page_id""",
+    "op6_top_k": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v)::BIGINT AS score FROM e q JOIN e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op8_line_dedup": rf"""WITH a AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<({line_dedup.HIDDEN})\b[^>]*>.*?</({line_dedup.HIDDEN})\s*>', ' ', 'g'), '(?i)</?({line_dedup.BLOCKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+t AS (SELECT page_id, host, string_split(regexp_replace(regexp_replace(t, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), chr(10)) AS lines FROM a),
+l AS (SELECT host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: {_TRIMMED}), lambda x: x <> ''))) AS line FROM t WHERE host IS NOT NULL),
+n AS (SELECT host, count(*) AS total FROM t GROUP BY host),
+b AS (SELECT k.host, list(line) AS bad FROM (SELECT host, line, count(*) AS c FROM l GROUP BY ALL) k JOIN n ON n.host = k.host WHERE c >= 2 AND c > 0.2::DOUBLE * total GROUP BY k.host),
+r AS (SELECT page_id, t.host, lines, {_LEFT} AS kept FROM t LEFT JOIN b ON b.host = t.host)
+SELECT page_id, host, coalesce(len(lines) - len(kept), 0)::INTEGER AS lines_dropped, array_to_string(kept, chr(10)) AS text FROM r""",
+}
