@@ -170,7 +170,7 @@ def links(unique: DataFrame, n: int, *, words: int, similarity: float, recall: f
     return blocks.mapInArrow(compare, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
     """(doc_id, component_id) of docs (doc_id, text): texts linked at `similarity` or more, directly or by others."""
     short_batches(docs.sparkSession)
     prints = docs.select("doc_id", wide_fingerprints(F.col("text"), shingle, words).alias("wide"))
