@@ -22,8 +22,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a large share of a source's documents have are taken out; the source stands for the host."""
-    kept = line_dedup.drop_boilerplate(docs, "source", "text", share=0.02, pages_least=5)
+    """Lines that a large share of a source's distinct texts have are taken out; the source stands for the host.
+
+    Copies of a document count once, so that a large group of them doesn't make all its lines boilerplate.
+    """
+    kept = line_dedup.drop_boilerplate(docs, "source", "text", share=0.02, pages_least=5, distinct=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -11,8 +11,9 @@ with a third of all pages, or a line that stands in all of them, is no hot spot.
 
 Defined results: pages without a host are left as they are, as they belong to no site; a null
 text stays null; lines that are blank, white space apart, are kept and not counted; lines are
-compared without white space at their ends; repeated rows are pages of their own; other columns
-stay. A text whose lines are all dropped becomes empty.
+compared without white space at their ends; repeated rows and copies of a text are pages of their
+own, unless `distinct` counts a host's equal texts as one page (null texts too); other columns stay.
+A text whose lines are all dropped becomes empty.
 """
 
 from __future__ import annotations
@@ -49,12 +50,15 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line, F.lit(" \t\r")))
 
 
-def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", *, share: float = 0.2, pages_least: int = 2) -> DataFrame:
-    """(host, lines): the hashes of a host's boilerplate lines."""
+def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", *, share: float = 0.2, pages_least: int = 2, distinct: bool = False) -> DataFrame:
+    """(host, lines): the hashes of a host's boilerplate lines. distinct: equal texts of a host count as one page."""
     own = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x, F.lit(" \t\r")) != ""), _key))
-    kept = pages.filter(F.col(host).isNotNull())
     # A null stands for the page itself: its count is the host's total.
-    held = kept.select(F.col(host).alias("host"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(own, F.array().cast("array<long>")))).alias("line"))
+    marked = F.concat(F.array(F.lit(None).cast("long")), F.coalesce(own, F.array().cast("array<long>")))
+    kept = pages.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(F.col(text), F.col(text).isNull()).alias("page"), marked.alias("lines"))
+    if distinct:
+        kept = kept.dropDuplicates(["host", "page"])
+    held = kept.select("host", F.explode("lines").alias("line"))
     counted = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
     totals = counted.filter(F.col("line").isNull()).select(F.col("host").alias("_host"), F.col("pages").alias("total"))
     common = counted.filter((F.col("line").isNotNull()) & (F.col("pages") >= pages_least))
@@ -62,9 +66,9 @@ def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", *, sha
     return joined.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", *, share: float = 0.2, pages_least: int = 2) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", *, share: float = 0.2, pages_least: int = 2, distinct: bool = False) -> DataFrame:
     """pages with the boilerplate lines of their site taken out of `text`, and `lines_dropped`, how many."""
-    sites = boilerplate(pages, host, text, share=share, pages_least=pages_least).select(F.col("host").alias("_host"), F.col("lines").alias("_boilerplate"))
+    sites = boilerplate(pages, host, text, share=share, pages_least=pages_least, distinct=distinct).select(F.col("host").alias("_host"), F.col("lines").alias("_boilerplate"))
     sites = durable(sites)
     n_lines = sites.agg(F.sum(F.size("_boilerplate"))).first()[0] or 0
     # Few lines are broadcast; for more, the join has a bare exchange on either side, so that Spark can split a hot host.

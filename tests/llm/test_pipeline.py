@@ -76,3 +76,17 @@ def test_encoding_stage(stages):
     texts = {r["doc_id"]: r["text"] for r in before}
     assert len(before) == len(after)
     assert all(known.decode(r["ids"]).decode() == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) for r in after)
+
+
+def test_copies_survive_line_dedup(spark):
+    """A third of all rows are one text, in every source: one of them comes through stages 2 to 4, and real boilerplate goes."""
+    own = lambda i: "\n".join(["menu of the site", *[" ".join(f"w{i}x{j}x{k}" for k in range(8)) for j in range(4)]])
+    hot = "\n".join(" ".join(f"hot{j}x{k}" for k in range(8)) for j in range(5))
+    rows = [(i, own(i) if i % 3 else hot, "en", f"s{i % 2}", 0) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    lines = pipeline.drop_repeated_lines(spark, docs, "")
+    texts = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert all(texts[i] == (own(i).split("\n", 1)[1] if i % 3 else hot) for i in range(240))
+    kept = pipeline.drop_near_duplicates(spark, lines, "")
+    assert [r["doc_id"] for r in kept.collect() if r["text"] == hot] == [0] and kept.count() == 161
+    assert 0 in {r["doc_id"] for r in pipeline.mix_sources(spark, kept, "").collect()}
