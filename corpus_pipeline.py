@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, langid, line_dedup, mixing, similar
-from ledgerloom.llm._shared import shared_path
+from ledgerloom.llm._shared import durable, one_of_each, row_key, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,14 +31,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest id stays."""
-    first = similar.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
-    return docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi").select(*COLUMNS)
+    """Of each group of near copies (five words, 0.8) one row stays: that with the smallest id, nulls last.
+
+    A hash of all columns tells rows with a null or repeated id; of rows alike in all columns one stays.
+    """
+    keyed = docs.select("*", *row_key(*COLUMNS))
+    ranked = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_k0", "_k1")
+    groups = similar.near_duplicates(keyed.select(ranked.alias("doc_id"), "text"))
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id._k0", "doc_id._k1").agg(F.count(F.lit(1)).alias("_n"))
+    return one_of_each(keyed, durable(first)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.copies(docs, mixing.mix(docs).rows).select(*COLUMNS)
+    keyed = docs.select("*", *row_key(*COLUMNS))
+    return mixing.copies_by_key(keyed, mixing.mix(keyed, keep=("_k0", "_k1")).rows).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

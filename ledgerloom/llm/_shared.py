@@ -71,6 +71,27 @@ def order_key(seed: int, *columns: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def row_key(*columns: str) -> list[Column]:
+    """_k0 and _k1, 128 bits that tell rows by these columns; nulls are values. Rows alike in all of them share a key."""
+    told = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(i), *told).alias(f"_k{i}") for i in range(2)]
+
+
+def one_of_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of docs for each key of wanted (_k0, _k1, _n, ...; kept), with its other columns.
+
+    docs has _k0 and _k1. _n: the rows of docs with this key. Only keys with several are made distinct, so a table
+    without repeated rows is joined alone.
+    """
+    keys = ["_k0", "_k1"]
+    single = docs.join(wanted.filter("_n = 1"), keys).drop("_n")
+    repeated = wanted.filter("_n > 1")
+    n = repeated.count()
+    if not n:
+        return single
+    return single.unionByName(docs.join(small(repeated, n), keys).drop("_n").dropDuplicates(keys))
+
+
 def bucket_bits(rows: int, per_bucket: int = 1024) -> int:
     """How many leading bits of a 60-bit key split rows into buckets of about per_bucket."""
     return min(40, max(0, math.ceil(math.log2(max(1, rows / per_bucket)))))

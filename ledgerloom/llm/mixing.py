@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import WORD, bucket_bits, durable, order_key, running_start, small
+from ledgerloom.llm._shared import WORD, bucket_bits, durable, one_of_each, order_key, running_start, small
 
 #: Weights of the sources in code-point order, repeating.
 CYCLE = (5, 2, 1)
@@ -86,10 +86,10 @@ def seats(plan: DataFrame) -> DataFrame:
     return listed.withColumn("place", place).filter(F.col("place") <= F.col("house"))
 
 
-def mix(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, most: int = 3, blocks_per_weight: int = 1024, shards: int = 8, seed: int = 17) -> Mix:
-    """Mix all of docs (doc_id, source, text). blocks_per_weight: seats for each unit of weight at least,
+def mix(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, most: int = 3, blocks_per_weight: int = 1024, shards: int = 8, seed: int = 17, keep: tuple[str, ...] = ()) -> Mix:
+    """Mix all of docs (doc_id, source, text). keep: other columns that rows has too. blocks_per_weight: seats for each unit of weight at least,
     so a source's taken words are within about 1 / blocks_per_weight of its target."""
-    base = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_key(seed, F.col("doc_id"), F.col("text")).alias("_key")))
+    base = durable(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), order_key(seed, F.col("doc_id"), F.col("text")).alias("_key")))
     bits = bucket_bits(base.count())
     plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, most)
     words = F.greatest(F.lit(1).cast("long"), F.floor(F.col("free_words") / (F.col("free_weight") * blocks_per_weight)))
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, most: int = 3, block
         placed = placed.withColumn(f"_{name}_block", here).join(side, (F.col("rank") == F.col("_r")) & (F.col(f"_{name}_block") == F.col("_b")), "left").drop("_r", "_b")
     up_to = lambda name, x: F.col(f"_{name}_before") + F.col(f"_{name}_repeats") * (x - F.col(f"_{name}_block") * F.col("block_words"))
     taken = F.when(F.col("size") == 0, F.lit(0)).when(F.col("full"), F.col("size") * most).otherwise(up_to("last", ends) - up_to("first", F.col("_start")))
-    rows = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    rows = placed.select("doc_id", *keep, "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
     shard = F.floor((F.col("place") - 1) * shards / F.col("house")).cast("int")
     quotas = won.groupBy(shard.alias("shard"), "source").agg(F.count(F.lit(1)).alias("blocks"))
     return Mix(rows, plan.select("source", "weight", "source_size", "target", "seats", "n_blocks", "block_words"), quotas)
@@ -140,3 +140,14 @@ def copies(docs: DataFrame, mixed: DataFrame, *, seed: int = 17) -> DataFrame:
     times = mixed.filter(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), "taken", "size").select("_id", times.alias("_times")).filter(F.col("_times") > 0)
     joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("_times")
+
+
+def copies_by_key(docs: DataFrame, mixed: DataFrame, *, seed: int = 17) -> DataFrame:
+    """As copies, for doc_ids that may be null or repeated: docs and mixed have _k0 and _k1 (row_key of all columns).
+
+    Rows with one key are alike, so what is taken of them is summed and one of them is repeated.
+    """
+    draw = order_key(seed + 1, F.col("_k0"), F.col("_k1")) / float(1 << 60)
+    taken = mixed.groupBy("_k0", "_k1").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("_n")).filter(F.col("taken") > 0)
+    times = durable(taken.select("_k0", "_k1", "_n", F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("_times")).filter(F.col("_times") > 0))
+    return one_of_each(docs, times).withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("_times")

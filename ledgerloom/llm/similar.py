@@ -171,7 +171,10 @@ def links(unique: DataFrame, n: int, *, words: int, similarity: float, recall: f
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
-    """(doc_id, component_id) of docs (doc_id, text): texts linked at `similarity` or more, directly or by others."""
+    """(doc_id, component_id) of docs (doc_id, text): texts linked at `similarity` or more, directly or by others.
+
+    doc_id is of any type that has an order; component_id is the smallest of a component that isn't null.
+    """
     short_batches(docs.sparkSession)
     prints = docs.select("doc_id", wide_fingerprints(F.col("text"), shingle, words).alias("wide"))
     prints = durable(prints.select("doc_id", F.xxhash64("wide").alias("fp"), "wide"))

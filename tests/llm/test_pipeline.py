@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline as pipeline
-from ledgerloom.llm import bpe, langid
+from ledgerloom.llm import bpe, langid, mixing
 from tests.llm.test_mixing_ring import brute_mix
 from tests.llm.test_texts import brute_lines
 from tests.llm.test_vectors_simhash import jaccard
@@ -90,3 +90,19 @@ def test_copies_survive_line_dedup(spark):
     kept = pipeline.drop_near_duplicates(spark, lines, "")
     assert [r["doc_id"] for r in kept.collect() if r["text"] == hot] == [0] and kept.count() == 161
     assert 0 in {r["doc_id"] for r in pipeline.mix_sources(spark, kept, "").collect()}
+
+
+def test_null_and_repeated_ids(spark):
+    """Each component keeps one row whether its id is null or repeated; the mix takes repeated rows as rows of their own."""
+    text = lambda i: " ".join(f"t{i}x{k}" for k in range(40))
+    ids = [None, None, 1, 1, 2, 2, 3, None, 4, None, None]
+    texts = [0, 1, 2, 2, 3, 4, 5, 5, 6, 7, 7]
+    rows = [(i, text(t), "en", "a" if t % 2 else None, 0) for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = pipeline.drop_near_duplicates(spark, docs, "").collect()
+    want = [(None, 0), (None, 1), (1, 2), (2, 3), (2, 4), (3, 5), (4, 6), (None, 7)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(((d, text(t)) for d, t in want), key=str)
+    taken, got = Counter(), Counter((r["doc_id"], r["text"]) for r in pipeline.mix_sources(spark, docs, "").collect())
+    for r in mixing.mix(docs.withColumn("key", docs["text"]), keep=("key",)).rows.collect():
+        taken[r["doc_id"], r["key"]] += r["taken"] / r["size"]
+    assert len(taken) == 9 and all(math.floor(x) <= got[k] <= math.ceil(x) for k, x in taken.items()) and set(got) <= set(taken)
