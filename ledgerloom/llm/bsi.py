@@ -11,9 +11,10 @@ A negative query component weighs the complement of its attribute's slices, and
 the shift add is the same for all rows of the query.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no
-part, nor do rows without vec_id, nor vectors with a component of 2**20 or more, whose scores
-would leave 64 bits; vectors are compared with those of as many components; an empty table
-gives an empty result.
+part, nor do rows without vec_id; vectors are compared with those of as many components; an
+empty table gives an empty result. Components may be of any size: a block has as many slices as
+its values need, and values or scores beyond 62 bits are computed in Python's integers. A score
+among a block's best that is itself beyond 64 bits raises an OverflowError.
 """
 
 from __future__ import annotations
@@ -25,15 +26,22 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.blocks import finite, search
 
 
+def integers(values: np.ndarray) -> np.ndarray:
+    """Whole doubles as int64, or as Python's integers where some are beyond 62 bits."""
+    return values.astype(np.int64) if not values.size or np.abs(values).max() < 1 << 62 else np.array([int(x) for x in values.ravel()], object).reshape(values.shape)
+
+
 def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
     """((attributes, bits, words), shift) of non-negative (rows, attributes) + shift."""
     shift = -int(values.min())
-    raised = (values + shift).T.astype(np.uint64)
+    raised = (values + shift).T
     bits = max(1, int(raised.max()).bit_length())
-    padded = np.zeros((raised.shape[0], bits, -(-raised.shape[1] // 64) * 64), np.uint8)
+    padded = np.zeros((raised.shape[0], -(-raised.shape[1] // 64) * 64), np.uint8)
+    out = np.zeros((raised.shape[0], bits, padded.shape[1] // 64), np.uint64)
     for b in range(bits):
-        padded[:, b, : raised.shape[1]] = (raised >> np.uint64(b)) & np.uint64(1)
-    return np.packbits(padded, axis=-1, bitorder="little").view(np.uint64), shift
+        padded[:, : raised.shape[1]] = (raised >> b) & 1
+        out[:, b] = np.packbits(padded, axis=-1, bitorder="little").view(np.uint64)
+    return out, shift
 
 
 def carry_save(numbers: np.ndarray) -> np.ndarray:
@@ -101,26 +109,39 @@ def top(scores: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
 def read(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The scores of some rows as integers."""
     bits = (scores[:, at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+    if len(scores) > 62:
+        return (bits.astype(object) * np.array([1 << i for i in range(len(scores))], object)[:, None]).sum(axis=0)
     return (bits.astype(np.int64) << np.arange(len(scores), dtype=np.int64)[:, None]).sum(axis=0)
 
 
+def total(sums: np.ndarray, same: int) -> np.ndarray:
+    """sums + same as int64; an error if one doesn't fit."""
+    if sums.dtype != object and abs(same) < 1 << 62:
+        return sums + same
+    exact = sums.astype(object) + same
+    if any(not -(1 << 63) <= x < 1 << 63 for x in exact):
+        raise OverflowError("an inner product is beyond 64 bits")
+    return exact.astype(np.int64)
+
+
 def best(k: int):
     """Each query's k best rows of a block, for blocks.search."""
 
     def of(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        index, shift = slices(rows.astype(np.int64))
+        index, shift = slices(integers(rows))
         full = (1 << index.shape[1]) - 1
         everyone = np.zeros(index.shape[2] * 64, bool)
         everyone[: len(ids)] = True
         everyone = np.packbits(everyone, bitorder="little").view(np.uint64)
         out = []
-        for q, query in enumerate(queries.astype(np.int64)):
+        for q, query in enumerate(integers(queries)):
             scores, allowed = weighted_sum(index, query), everyone.copy()
             for at in range(*np.searchsorted(ids, [own[q], own[q] + 1])):
                 allowed[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
             at = top(scores, allowed, k)
-            same = int(np.minimum(query, 0).sum()) * full - int(query.sum()) * shift
-            out.append((np.full(len(at), q), ids[at], read(scores, at) + same))
+            exact = [int(x) for x in query]
+            same = sum(x for x in exact if x < 0) * full - sum(exact) * shift
+            out.append((np.full(len(at), q), ids[at], total(read(scores, at), same)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     return of
@@ -128,7 +149,8 @@ def best(k: int):
 
 def top_inner_products(vectors: DataFrame, *, every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors (vec_id, embedding) quantised to floor(scale * x)."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    # The floor as a double, which holds every quantised component exactly; longs, which F.floor gives, don't reach as far.
+    floor = lambda x: F.rint(x) - F.when(F.rint(x) > x, F.lit(1.0)).otherwise(F.lit(0.0))
+    whole = F.transform("embedding", lambda x: floor(x.cast("double") * scale))
     rows = vectors.filter(finite()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-    rows = rows.filter(F.forall("v", lambda x: F.abs(x) < 1 << 20))
     return search(rows, best(k), every=every, k=k, score="long")

@@ -207,3 +207,26 @@ def test_recall_on_the_table(spark, medium_dir):
     frame = spark.read.parquet(f"{medium_dir}/embeddings.parquet").withColumn("v", F.col("embedding"))
     found = {r["vec_id"]: r["embedding"] for r in frame.collect()}
     assert recall(permutation.nearest(frame).collect(), brute_nearest(found)) >= 0.9
+
+
+@pytest.mark.parametrize("large", [16384.0, 2.0**31, 2.0**60])
+def test_large_components_take_part(spark, large):
+    """Components from 2**20 on, quantised, as query and as candidate; scores stay within 64 bits."""
+    draw = random.Random(8)
+    # The largest meets zeros only, so that its scores fit.
+    first = lambda: draw.uniform(-3, 3) if large < 2**60 else 0.0
+    rows = [(i, [first(), *[draw.uniform(-3, 3) for _ in range(4)]]) for i in range(100) if i != 20] + [(20, [large, 0.25, 0.0, 0.0, 1.0])]
+    rows += [(101, [-large, 1.0, 1.0, 0.0, 0.0])] if large < 2**30 else []
+    got = defaultdict(list)
+    for r in sorted(bsi.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    for q in (i for i in whole if i % 20 == 0):
+        best = sorted(((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q))[:20]
+        assert got[q] == [(i, -s) for s, i in best]
+
+
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    frame = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        bsi.top_inner_products(frame).collect()
