@@ -173,7 +173,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.event_stream(spark, f"{sf_dir}/[e]vents.parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
 
 
-register("stream_daily_counts", lambda spark, sf_dir: streams.latest(streams.run_to_end(streams.daily_counts(events(spark, sf_dir)), "update"), "day", "node_id"))
+register("stream_daily_counts", lambda spark, sf_dir: streams.latest(streams.run_to_end(streams.daily_counts(events(spark, sf_dir), delay=None), "update"), "day", "node_id"))
 register("stream_first_last", lambda spark, sf_dir: streams.latest(streams.run_to_end(streams.first_last(events(spark, sf_dir)), "update"), "node_id"))
 register("stream_early_activity", lambda spark, sf_dir: streams.latest(streams.run_to_end(streams.early_activity(events(spark, sf_dir)), "update"), "node_id"))
 add("stream_daily_counts", "SELECT ts::DATE AS day, user_id AS node_id, count(*)::BIGINT AS n FROM events GROUP BY ALL")

@@ -25,9 +25,12 @@ def event_stream(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return raw.select(F.col("user_id").alias("node_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
 
 
-def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """(day, node_id, n) by event day; rows later than the watermark's delay are left out."""
-    counted = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "node_id").agg(F.count(F.lit(1)).alias("n"))
+def daily_counts(events: DataFrame, delay: str | None = "1 day") -> DataFrame:
+    """(day, node_id, n) by event day; rows later than the watermark's delay are left out.
+
+    delay: None has no watermark and counts every row, which suits a replay of files in any order; the state is the result.
+    """
+    counted = (events if delay is None else events.withWatermark("ts", delay)).groupBy(F.window("ts", "1 day"), "node_id").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").cast("date").alias("day"), "node_id", "n")
 
 
@@ -43,21 +46,26 @@ def first_last(events: DataFrame) -> DataFrame:
 
 
 class EarlyActivity(StatefulProcessor):
-    """Counts a node's events of its first `days` days. Late first events open no second window."""
+    """Counts a node's events of its first `days` days, by day, so that an earlier first day that comes late takes over."""
 
     def __init__(self, days: int):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("early", "first long, n long")
+        self.state = handle.getValueState("early", "first long, counts array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else None
-        days = sorted(int(d) for part in rows for d in part["day_number"])
-        first, n = (held[0], held[1]) if held else (days[0], 0)
-        n += sum(first <= d < first + self.days for d in days)
-        self.state.update((first, n))
-        yield pd.DataFrame({"node_id": [key[0]], "first_day": [first], "early": [n]})
+        on = {int(held[0]) + i: int(n) for i, n in enumerate(held[1])} if held else {}
+        # Days behind the window of the first day so far are in no earlier first day's window either.
+        for part in rows:
+            for day, n in part["day_number"].value_counts().items():
+                on[int(day)] = on.get(int(day), 0) + int(n)
+            first = min(on)
+            on = {day: n for day, n in on.items() if day < first + self.days}
+        counts = [on.get(first + i, 0) for i in range(self.days)]
+        self.state.update((first, counts))
+        yield pd.DataFrame({"node_id": [key[0]], "first_day": [first], "early": [sum(counts)]})
 
     def close(self) -> None:
         pass

@@ -1,12 +1,16 @@
 """Hand-made graphs of a few nodes, and properties that hold on any graph."""
 
+import datetime as dt
 import math
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerloom.contract import GraphFrame, GraphSchema, validate
 from ledgerloom.operators import graph, impute, pairs, rows, sampling, snapshot, weights, windows
 from ledgerloom.plans import metrics, profile, report, serving
@@ -159,3 +163,23 @@ def test_prototypes_over_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = streams.latest(streams.run_to_end(streams.prototypes(stream, 0.5), "update"), "label").first()
     assert got["n"] == 2 and math.hypot(*got["prototype"]) == pytest.approx(1) and got["prototype"][0] == pytest.approx(math.sqrt(0.5))
+
+
+def test_streams_over_files_in_any_order(spark, tmp_path):
+    """Events dealt at random into files that each span the time range: every row counts."""
+    draw = random.Random(4)
+    rows = [(draw.randint(0, 5), dt.datetime(2024, 1, 1) + dt.timedelta(hours=draw.randint(0, 24 * 40)), 1.0) for _ in range(300)]
+    rows += [(9, dt.datetime(2024, 2, 1), 1.0)] * 3 + [(9, dt.datetime(2024, 1, 28), 1.0), (9, dt.datetime(2024, 1, 20), 1.0)]
+    draw.shuffle(rows)
+    schema = "user_id long, ts timestamp_ntz, value double"
+    folder = str(tmp_path / "events.parquet")
+    for i in range(4):
+        spark.createDataFrame(rows[i::4], schema).coalesce(1).write.mode("append").parquet(folder)
+    got = entry.queries()["stream_daily_counts"](spark, str(tmp_path)).collect()
+    assert {(r["day"], r["node_id"]): r["n"] for r in got} == Counter((t.date(), u) for u, t, _ in rows)
+    epoch, first = dt.date(1970, 1, 1), {}
+    for u, t, _ in rows:
+        first[u] = min(first.get(u, t.date()), t.date())
+    want = {u: ((f - epoch).days, sum(v == u and t.date() < f + dt.timedelta(7) for v, t, _ in rows)) for u, f in first.items()}
+    got = entry.queries()["stream_early_activity"](spark, str(tmp_path)).collect()
+    assert {r["node_id"]: (r["first_day"], r["early"]) for r in got} == want
