@@ -90,8 +90,8 @@ on_orders("contract_violations", lambda g: violations(g, *prepare.id_lists(g.nod
 on_orders("phase_one", lambda g: prepare.phase_one(graph.activity(g).select("node_id", F.col("first_active").alias("step")), g.edges, 400)[1])
 on_orders("phase_two_labels", lambda g: prepare.phase_two_labels(g.nodes.join(graph.activity(g).select("node_id", F.col("first_active").alias("step")), "node_id"), 60).select("node_id", "y"))
 on_orders("median_impute", lambda g: impute.constant_fill(g.nodes, g.schema.raw_columns))
-on_orders("affine_impute", lambda g: impute.affine_fill(g.nodes.filter("node_id < 1000000").join(graph.degrees(g), "node_id"), "x0", ["x1", "x2", "outdegree"], sizes=(1,)))
-on_orders("ridge_impute", lambda g: impute.ridge_fill(g.nodes.filter("node_id < 1000000"), "x0", ["x1", "x2"]))
+on_orders("affine_impute", lambda g: impute.affine_fill(g.nodes.filter(tables.is_customer(F.col("node_id"))).join(graph.degrees(g), "node_id"), "x0", ["x1", "x2", "outdegree"], sizes=(1,)))
+on_orders("ridge_impute", lambda g: impute.ridge_fill(g.nodes, "x0", ["x1", "x2"]))
 add("contract_violations", f"WITH {ORDERS} SELECT unnest(['edge_type_in_range', 'edge_has_day', 'label_in_domain', 'node_id_unique', 'src_is_node', 'dst_is_node', 'train_is_labelled', 'test_is_unknown', 'train_and_test_disjoint']) AS rule, unnest([(SELECT count(*) FROM edges WHERE edge_type NOT BETWEEN 1 AND 6), (SELECT count(*) FROM edges WHERE day IS NULL), (SELECT count(*) FROM nodes WHERE y NOT IN (-100, 0, 1, 2, 3)), (SELECT count(*) - count(DISTINCT node_id) FROM nodes), (SELECT count(*) FROM edges WHERE src NOT IN (SELECT node_id FROM nodes)), (SELECT count(*) FROM edges WHERE dst NOT IN (SELECT node_id FROM nodes)), 0, 0, 0]) AS violations")
 add("phase_one", f"WITH {ORDERS}, k AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM act WHERE first_active <= 400) SELECT a.i AS src, b.i AS dst, edge_type, day FROM edges JOIN k a ON a.node_id = src JOIN k b ON b.node_id = dst WHERE day <= 400")
 add("phase_two_labels", f"WITH {ORDERS} SELECT n.node_id, (CASE WHEN first_active > 60 AND y IN (0, 1) THEN y ELSE -100 END)::INTEGER AS y FROM nodes n JOIN act ON act.node_id = n.node_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame, GraphSchema
@@ -11,7 +11,8 @@ ORDERS = GraphSchema(raw=3, types=6, background=(2, 3), strong_pairs=((0, 1),))
 EVENTS = GraphSchema(raw=1, types=5)
 EVENT_TYPES = ("click", "view", "purchase", "signup", "error")
 ORDER_TYPES = ("AF", "AO", "NF", "NO", "RF", "RO")
-#: Suppliers' ids come after customers'.
+#: Suppliers' ids are their keys and this; customers' ids are their keys below it and their negative keys from it on,
+#: so that no id is both, whatever the size. Keys aren't negative.
 SUPPLIERS_FROM = 1_000_000
 
 
@@ -19,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def customer_id(key: Column) -> Column:
+    return F.when(key < SUPPLIERS_FROM, key).otherwise(-key)
+
+
+def is_customer(node_id: Column) -> Column:
+    return node_id < SUPPLIERS_FROM
+
+
 def _code(value, names: tuple[str, ...]):
     out = F.when(value == names[0], F.lit(1))
     for i, n in enumerate(names[1:], 2):
@@ -34,7 +43,7 @@ def orders_graph(spark: SparkSession, sf_dir: str) -> GraphFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
     edges = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
-        F.col("o_custkey").alias("src"),
+        customer_id(F.col("o_custkey")).alias("src"),
         (F.col("l_suppkey") + SUPPLIERS_FROM).alias("dst"),
         _code(F.concat("l_returnflag", "l_linestatus"), ORDER_TYPES).alias("edge_type"),
         _days(F.col("l_shipdate"), "1995-01-01").alias("day"),
@@ -45,7 +54,7 @@ def orders_graph(spark: SparkSession, sf_dir: str) -> GraphFrame:
     label = F.when(segment == "BUILDING", 1).when(segment.isin("MACHINERY", "AUTOMOBILE"), 0).when(segment == "HOUSEHOLD", 2).otherwise(-100)
     customer = table(spark, sf_dir, "customer")
     customers = customer.join(placed, customer.c_custkey == placed.c, "left").select(
-        F.col("c_custkey").alias("node_id"), known(F.col("c_acctbal")).alias("x0"), F.col("c_nationkey").cast("double").alias("x1"), F.coalesce("n", F.lit(0.0)).alias("x2"), label.alias("y")
+        customer_id(F.col("c_custkey")).alias("node_id"), known(F.col("c_acctbal")).alias("x0"), F.col("c_nationkey").cast("double").alias("x1"), F.coalesce("n", F.lit(0.0)).alias("x2"), label.alias("y")
     )
     suppliers = table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") + SUPPLIERS_FROM).alias("node_id"), known(F.col("s_acctbal")).alias("x0"), F.col("s_nationkey").cast("double").alias("x1"), F.lit(-1.0).alias("x2"), F.when(F.col("s_nationkey") % 2 == 0, 3).otherwise(-100).alias("y")

@@ -14,6 +14,7 @@ import __spark_entry__ as entry
 from ledgerloom.contract import GraphFrame, GraphSchema, validate
 from ledgerloom.operators import graph, impute, pairs, rows, sampling, snapshot, weights, windows
 from ledgerloom.plans import metrics, profile, report, serving
+from ledgerloom.sources import tables
 from ledgerloom.streaming import windows as streams
 
 SCHEMA = GraphSchema(raw=1, types=2, background=(2, 3))
@@ -183,3 +184,24 @@ def test_streams_over_files_in_any_order(spark, tmp_path):
     want = {u: ((f - epoch).days, sum(v == u and t.date() < f + dt.timedelta(7) for v, t, _ in rows)) for u, f in first.items()}
     got = entry.queries()["stream_early_activity"](spark, str(tmp_path)).collect()
     assert {r["node_id"]: (r["first_day"], r["early"]) for r in got} == want
+
+
+def test_customers_and_suppliers_never_share_an_id(spark, tmp_path):
+    """Customer keys on both sides of the suppliers' first id, among them those of the suppliers' ids."""
+    keys, suppliers = [1, 2, 999_999, 1_000_000, 1_000_001, 1_000_002, 3_000_000], [0, 1, 2]
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("customer", [(k, -5.0 if i == 4 else 10.0 * i, i, "BUILDING") for i, k in enumerate(keys)], "c_custkey long, c_acctbal double, c_nationkey int, c_mktsegment string")
+    put("supplier", [(k, -3.0 if k == 1 else 7.0 + k, k) for k in suppliers], "s_suppkey long, s_acctbal double, s_nationkey int")
+    orders = list(enumerate(k for i, k in enumerate(keys) for _ in range(i % 3 + 1)))
+    put("orders", orders, "o_orderkey long, o_custkey long")
+    items = [(i, s, "A", "F", dt.date(1995, 1, 2)) for i, _ in orders for s in suppliers]
+    put("lineitem", items, "l_orderkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate date")
+    g = tables.orders_graph(spark, str(tmp_path))
+    ids = [r["node_id"] for r in g.nodes.collect()]
+    assert len(set(ids)) == len(ids) == len(keys) + len(suppliers)
+    ends = Counter(x for r in g.edges.collect() for x in (r["src"], r["dst"]))
+    assert set(ends) == set(ids) and sorted(ends.values()) == sorted([3 * (i % 3 + 1) for i in range(7)] + [len(orders)] * 3)
+    assert g.nodes.filter(tables.is_customer(F.col("node_id"))).count() == len(keys)
+    for name, rows_, filled in (("affine_impute", len(keys), 1), ("ridge_impute", len(ids), 2)):
+        got = entry.queries()[name](spark, str(tmp_path)).collect()
+        assert len({r["node_id"] for r in got}) == len(got) == rows_ and sum(r["filled"] for r in got) == filled
