@@ -64,6 +64,9 @@ on_events("weighted_fanout", lambda g: sampling.weighted_fanout(g, weights.class
 on_events("hybrid_fanout", lambda g: sampling.hybrid_fanout(g, 6, 2))
 on_orders("balanced_batches", lambda g: sampling.balanced_batches(g.nodes, {0: 8, 1: 4}, 1))
 on_events("subgraph_stats", lambda g: weights.subgraph_stats(sampling.khop(g, g.nodes.filter(F.col("node_id") % 10 == 0).select(F.col("node_id").alias("seed")), (3, 2))))
+# As khop_subgraph and subgraph_stats, whose SQL has every tenth node as a seed, from all nodes.
+on_events("khop_subgraph_all", lambda g: sampling.khop(g, g.nodes.select(F.col("node_id").alias("seed")), (3, 2)))
+on_events("subgraph_stats_all", lambda g: weights.subgraph_stats(sampling.khop(g, g.nodes.select(F.col("node_id").alias("seed")), (3, 2))))
 LATEST = "ORDER BY day DESC, neighbor, rel_id"
 add("topk_recent_neighbors", f"WITH {EVENTS}, {SEEN}, r AS (SELECT *, (row_number() OVER (PARTITION BY center, dir {LATEST}))::INTEGER AS rank FROM seen) SELECT * FROM r WHERE rank <= 5")
 add(
@@ -84,6 +87,8 @@ add(
     "subgraph_stats",
     f"{KHOP}, n AS (SELECT seed, count(DISTINCT v) AS v FROM (SELECT seed, src AS v FROM k UNION ALL SELECT seed, dst FROM k) GROUP BY seed) SELECT k.seed, {r6('ln(1 + any_value(n.v))', 'log_nodes')}, {r6('ln(1 + count(*))', 'log_edges')}, {r6('ln(1 + count(DISTINCT rel_id))', 'log_kinds')}, {r6('ln(1 + count(*) FILTER (WHERE dst = k.seed))', 'log_in')}, {r6('ln(1 + count(*) FILTER (WHERE src = k.seed))', 'log_out')}, {r6('avg(day)', 'mean_day')} FROM k JOIN n ON n.seed = k.seed GROUP BY k.seed",
 )
+for _name in ("khop_subgraph", "subgraph_stats"):
+    add(f"{_name}_all", ORACLES[_name].replace(" WHERE node_id % 10 = 0", ""))
 
 # Preparation and imputation.
 on_orders("contract_violations", lambda g: violations(g, *prepare.id_lists(g.nodes)))

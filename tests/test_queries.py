@@ -24,3 +24,10 @@ def test_no_cross_joins_in_feature_plans(spark, small_dir):
     for name in ("minimum_slice", "snapshot_block", "early_activity", "adaptive_window", "partner_concentration", "motif_lite", "neighbor_profile"):
         plan = graph_queries.QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_every_node_is_a_seed(spark, small_dir):
+    """Each node of the events graph has an edge, so each has a subgraph and statistics."""
+    nodes = spark.read.parquet(f"{small_dir}/events.parquet").select("user_id").distinct().count()
+    for name in ("khop_subgraph_all", "subgraph_stats_all"):
+        assert graph_queries.QUERIES[name](spark, small_dir).select("seed").distinct().count() == nodes
