@@ -1,25 +1,29 @@
 """Search a stated query set against all rows in blocks.
 
-Queries and candidates are dealt into blocks by a hash of their ids. Every pair of a query block
-and a candidate block is one task's work, of bounded size; it returns each query's best rows of
-that block, which are merged by rank. Neither side is broadcast or collected.
+Candidates are dealt into blocks of bounded bytes by a hash; each block is indexed once, in one
+task, and the queries, a copy of which goes to every block, stream past it. A block returns each
+query's best rows, which are merged by rank. Neither side is broadcast or collected, and what is
+copied is the query set, not the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block at most.
-CANDIDATES, QUERIES = 1 << 16, 1 << 12
-#: Blocks at least, where there are rows enough: work for several executors.
-CANDIDATE_BLOCKS, QUERY_BLOCKS, WORTH = 3, 4, 64
+#: Bytes of a block's components, as doubles.
+BLOCK_BYTES = 1 << 25
+#: Blocks at least, where each has rows enough to be worth a task: work for several executors.
+LEAST_BLOCKS, WORTH = 12, 512
 
-Best = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (query ids, query vectors) -> positions of queries, ids of candidates, scores.
+Ask = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (candidate ids in ascending order, candidate vectors) -> how to ask them.
+Build = Callable[[np.ndarray, np.ndarray], Ask]
 
 
 def finite(embedding: str = "embedding") -> F.Column:
@@ -28,41 +32,52 @@ def finite(embedding: str = "embedding") -> F.Column:
     return F.coalesce(good & (F.size(embedding) > 0), F.lit(False))
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     """The lists of a column, all of one length, as rows."""
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, best: Best, *, every: int, k: int, score: str) -> DataFrame:
+def search(vectors: DataFrame, build: Build, *, every: int, k: int, score: str) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id long, v array) with vec_id divisible by `every`, its k best.
 
-    best(query ids, query vectors, candidate ids in ascending order, candidate vectors) gives the
-    positions of queries, the ids of candidates and scores, at most k of each query's highest
-    with ties to the smaller id. score: the type of the scores. Rows are compared with rows of as
-    many components only. Repeated rows with the id of a query are the query's own; repeats among
-    candidates are listed each.
+    What build returns gives, for some queries, at most k of each one's highest scores with ties to the
+    smaller id. score: the type of the scores. Rows are compared with rows of as many components only.
+    A vec_id that several rows have asks once, with its smallest vector (by components from the first
+    on), and none of these rows is its answer; repeats among candidates are listed each.
     """
-    rows = vectors.filter(F.col("vec_id").isNotNull())
-    n = rows.count()
-    n_blocks = max(1, -(-n // CANDIDATES), min(CANDIDATE_BLOCKS, n // WORTH))
-    q_blocks = max(1, -(-n // every // QUERIES), min(QUERY_BLOCKS, n // every // WORTH))
-    spread = lambda of, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(of)).cast("int")
-    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = asked.select("vec_id", "v", F.size("v").alias("dims"), spread(q_blocks, "q").alias("q")).select("*", each(n_blocks).alias("c"))
-    candidates = rows.select("vec_id", "v", F.size("v").alias("dims"), spread(n_blocks, "c").alias("c")).select("*", each(q_blocks).alias("q"))
-    keys = ["q", "c", "dims"]
+    rows = vectors.filter(F.col("vec_id").isNotNull()).select("vec_id", "v", F.size("v").alias("dims"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dims"), F.lit(0)).alias("cells")).first()
+    blocks = max(1, -(-8 * size["cells"] // BLOCK_BYTES), min(LEAST_BLOCKS, size["n"] // WORTH))
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
+    queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dims", F.lit(1).alias("asks"), "vec_id", "v")
+    candidates = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), "dims", F.lit(0).alias("asks"), "vec_id", "v")
+    names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64() if score == "long" else pa.float64()]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64() if score == "long" else pa.float64()]
-        if not len(left) or not len(right):
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        ids, own = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        at, found, scores = best(own, matrix(left["v"]), ids[order], matrix(right["v"])[order])
-        return pa.table([pa.array(own[at]), pa.array(found), pa.array(scores, kinds[2])], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of (block, dims, asks, vec_id): a block's candidates, then all queries."""
+        now, held, ask = None, [], None
+        for batch in batches:
+            order = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = [0, *(np.nonzero((order[1:] != order[:-1]).any(axis=1))[0] + 1).tolist(), len(order)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                *key, asks = order[start].tolist()
+                if key != now:
+                    now, held, ask = key, [], None
+                part = batch.slice(start, end - start)
+                if not asks:
+                    held.append(part)
+                    continue
+                if held and ask is None:
+                    ask = build(np.concatenate([x.column(3).to_numpy() for x in held]), np.concatenate([matrix(x.column(4)) for x in held]))
+                    held = held[:1]
+                if ask is not None:
+                    own = part.column(3).to_numpy()
+                    at, found, scores = ask(own, matrix(part.column(4)))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(found), pa.array(scores, kinds[2])], names=names)
 
-    parts = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, score {score}")
+    dealt = candidates.unionByName(queries).repartition(blocks, "block", "dims").sortWithinPartitions("block", "dims", "asks", "vec_id")
+    parts = dealt.mapInArrow(run, f"query_id long, vec_id long, score {score}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

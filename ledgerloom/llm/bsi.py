@@ -124,27 +124,31 @@ def total(sums: np.ndarray, same: int) -> np.ndarray:
     return exact.astype(np.int64)
 
 
-def best(k: int):
-    """Each query's k best rows of a block, for blocks.search."""
+def indexed(k: int):
+    """How blocks.search indexes a block, and asks it for each query's k best rows."""
 
-    def of(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def build(ids: np.ndarray, rows: np.ndarray):
         index, shift = slices(integers(rows))
         full = (1 << index.shape[1]) - 1
         everyone = np.zeros(index.shape[2] * 64, bool)
         everyone[: len(ids)] = True
         everyone = np.packbits(everyone, bitorder="little").view(np.uint64)
-        out = []
-        for q, query in enumerate(integers(queries)):
-            scores, allowed = weighted_sum(index, query), everyone.copy()
-            for at in range(*np.searchsorted(ids, [own[q], own[q] + 1])):
-                allowed[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
-            at = top(scores, allowed, k)
-            exact = [int(x) for x in query]
-            same = sum(x for x in exact if x < 0) * full - sum(exact) * shift
-            out.append((np.full(len(at), q), ids[at], total(read(scores, at), same)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    return of
+        def ask(own: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            out = []
+            for q, query in enumerate(integers(queries)):
+                scores, allowed = weighted_sum(index, query), everyone.copy()
+                for at in range(*np.searchsorted(ids, [own[q], own[q] + 1])):
+                    allowed[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
+                at = top(scores, allowed, k)
+                exact = [int(x) for x in query]
+                same = sum(x for x in exact if x < 0) * full - sum(exact) * shift
+                out.append((np.full(len(at), q), ids[at], total(read(scores, at), same)))
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+        return ask
+
+    return build
 
 
 def top_inner_products(vectors: DataFrame, *, every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
@@ -153,4 +157,4 @@ def top_inner_products(vectors: DataFrame, *, every: int = 20, k: int = 20, scal
     floor = lambda x: F.rint(x) - F.when(F.rint(x) > x, F.lit(1.0)).otherwise(F.lit(0.0))
     whole = F.transform("embedding", lambda x: floor(x.cast("double") * scale))
     rows = vectors.filter(finite()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-    return search(rows, best(k), every=every, k=k, score="long")
+    return search(rows, indexed(k), every=every, k=k, score="long")

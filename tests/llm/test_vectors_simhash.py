@@ -203,12 +203,42 @@ def test_nearest_found(spark):
     assert permutation.nearest(frame.limit(0)).collect() == [] and bsi.top_inner_products(frame.limit(0)).collect() == []
 
 
-def test_recall_on_the_table(spark, medium_dir):
-    frame = spark.read.parquet(f"{medium_dir}/embeddings.parquet").withColumn("v", F.col("embedding"))
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_recall_on_the_table(spark, table):
+    """A twentieth of the rows is reranked; the vectors are independent normals, the hardest case."""
+    frame = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").withColumn("v", F.col("embedding"))
     found = {r["vec_id"]: r["embedding"] for r in frame.collect()}
     assert recall(permutation.nearest(frame).collect(), brute_nearest(found)) >= 0.9
 
 
+def test_repeated_vector_ids(spark):
+    """A repeated id asks with its smallest vector, however the rows are dealt, and isn't its own answer."""
+    draw = np.random.default_rng(5)
+    rows = [(i % 90, draw.normal(0, 1, 6).tolist()) for i in range(300)] + [(100, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])] * 3
+    least = {}
+    for i, v in rows:
+        least[i] = min(v, least.get(i, v))
+    for of, every, k in ((bsi.top_inner_products, 20, 20), (permutation.nearest, 50, 5)):
+        told = []
+        for order, parts in ((rows, 2), (rows[::-1], 7)):
+            frame = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(parts)
+            told.append(sorted(map(tuple, of(frame).collect())))
+        assert told[0] == told[1] and {r[0] for r in told[0]} == {i for i in least if i % every == 0} and all(r[0] != r[2] for r in told[0])
+        if of is bsi.top_inner_products:
+            whole = lambda v: [math.floor(64 * x) for x in v]
+            for q in {r[0] for r in told[0]}:
+                best = sorted(((-sum(a * b for a, b in zip(whole(least[q]), whole(v), strict=True)), i) for i, v in rows if i != q))[:k]
+                assert [(r[2], r[3]) for r in told[0] if r[0] == q] == [(i, -s) for s, i in best]
+
+
+def test_multiples_of_a_vector_tie(spark):
+    """Powers of two times one vector have one cosine, to the last bit, at any size; ties go to the smaller id."""
+    v = [0.1, -0.7, 0.3]
+    rows = [(50, v), *[(i, [x * 2.0**e for x in v]) for i, e in ((3, 900), (1, -900), (2, 1), (4, 0))]]
+    got = permutation.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4] and len({r["score"] for r in got}) == 1
+
+
 @pytest.mark.parametrize("large", [16384.0, 2.0**31, 2.0**60])
 def test_large_components_take_part(spark, large):
     """Components from 2**20 on, quantised, as query and as candidate; scores stay within 64 bits."""
