@@ -112,29 +112,76 @@ def jaccard(a, b):
     return len(a & b) / max(1, len(a | b))
 
 
+def fresh_words(draw, n):
+    return [f"{draw.choice('bcdfg')}{draw.randint(0, 5000)}" for _ in range(n)]
+
+
+def check_five_words(rows, got):
+    """Components as by all pairs' exact similarity; rows are (doc_id, text)."""
+    sets = {d: frozenset(shingles(t, 5)) for d, t in rows}
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(ids, near)
+
+
 def test_five_word_near_duplicates(spark):
-    draw = random.Random(8)
-    fresh = lambda n: [f"{draw.choice('bcdfg')}{draw.randint(0, 5000)}" for _ in range(n)]
-    rows, near = [], []
+    draw, rows = random.Random(8), []
     for i in range(80):
-        base = fresh(200)
-        rows.append((3 * i, " ".join(base)))
+        base = fresh_words(draw, 200)
+        rows.append((4 * i, " ".join(base)))
         changed = list(base)
         for at in range(draw.randint(0, 2)):
             changed[20 + 90 * at] = "changed"
-        rows.append((3 * i + 1, " ".join(changed)))
-        near.append((3 * i, 3 * i + 1))
-        rows.append((3 * i + 2, " ".join(base[:60] + fresh(140))))  # a shared passage only
-    texts = dict(rows)
-    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in near)
-    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame([(*r, "") for r in rows], DOCS).repartition(4)).collect()}
-    assert got == brute_components(sorted(texts), near)
+        rows.append((4 * i + 1, " ".join(changed)))
+        rows.append((4 * i + 2, " ".join(base[:60] + fresh_words(draw, 140))))  # a shared passage only
+        rows.append((4 * i + 3, " ".join(base[:8] + fresh_words(draw, i % 3))))
+    check_five_words(rows, similar.near_duplicates(spark.createDataFrame([(*r, "") for r in rows], DOCS).repartition(4)).collect())
+
+
+def test_recall_and_precision_at_the_threshold(spark):
+    """At 0.8 to 0.82, texts of 8 to 1000 words: 0.95 or more of the links found; below 0.8, none."""
+    draw, rows, wanted = random.Random(3), [], []
+    for i in range(600):
+        n = (8, 9, 13, 20, 45, 100, 300, 1000)[i % 8]
+        base = fresh_words(draw, n)
+        # Words put in front change no shingle and add one each; so many keep just 0.8.
+        own = n - 4
+        more = own * 5 // 4 - own if i % 3 else own * 5 // 4 - own + 1
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(fresh_words(draw, more) + base))]
+        wanted.append(jaccard(rows[-1][1], rows[-2][1]) >= 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame([(*r, "") for r in rows], DOCS)).collect()}
+    met = [got[2 * i + 1] == got[2 * i] for i in range(600)]
+    assert not any(m for m, w in zip(met, wanted, strict=True) if not w)
+    for part in range(8):
+        of = [m for i, (m, w) in enumerate(zip(met, wanted, strict=True)) if w and i % 8 == part]
+        assert len(of) >= 45 and sum(of) >= 0.95 * len(of) - 2, part
+    assert sum(met) >= 0.95 * sum(wanted)
+
+
+@pytest.mark.parametrize("most", [(24, 3000), (8192, 1 << 20)])
+def test_large_groups_are_whole(spark, most):
+    """A large group of near copies, others that share most of a long passage with it, and chains: all found, however few rows a task compares."""
+    draw = random.Random(6)
+    base, rows = fresh_words(draw, 120), []
+    for _ in range(150):
+        text = list(base)
+        text[draw.randrange(120)] = f"own{len(rows)}"
+        rows.append((len(rows), " ".join(text)))
+    for _ in range(40):  # about 0.6 to the base, alike among themselves in twos
+        text = base[:90] + fresh_words(draw, 30)
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text[:-1], "end"]))]
+    chain = fresh_words(draw, 100)
+    for _ in range(30):
+        chain = chain[4:] + fresh_words(draw, 4)
+        rows.append((len(rows), " ".join(chain)))
+    frame = spark.createDataFrame([(*r, "") for r in rows], DOCS).repartition(3)
+    check_five_words(rows, similar.near_duplicates(frame, most_rows=most[0], most_shingles=most[1]).collect())
 
 
 def test_five_word_edge_cases(spark):
-    rows = [(1, None, ""), (2, "", ""), (3, "a b", ""), (4, "A b", ""), (5, "w " * 40_000, ""), (5, "w " * 40_000, "")]
-    got = sorted((r["doc_id"], r["component_id"]) for r in similar.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
-    assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (5, 5)]
+    rows = [(1, None, ""), (2, "", ""), (3, "a b", ""), (4, "A b", ""), (5, "w " * 40_000, ""), (5, "w " * 40_000, ""), (None, " ", ""), (None, "z", ""), (6, "w " * 9, "")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in similar.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (5, 5), (None, 1), (None, None), (6, 5)], key=str)
     assert similar.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
