@@ -3,24 +3,26 @@
 Each language has a raw-content Zstandard dictionary: excerpts of its labelled texts. A text is
 compressed with each of them, in chunks so that its own repeats don't hide the dictionary, and
 the language whose dictionary makes it smallest is chosen. If the second is nearly as small,
-the margin is narrow and the text is rejected. Only letters count: both sides are put in lower
-case, and what stands between words is one space.
+the margin is narrow and the text is rejected. Only letters (Unicode category L, and the marks on
+them) count: both sides are put in lower case, and what stands between words is one space.
 
 The dictionaries are fitted on a bounded sample: `excerpts` of `excerpt_chars` characters for
 each language, of the documents with the smallest seeded hashes. All else covers whole texts.
 
 Defined results: a null text or one without a letter is `und`, with score 0, and rejected; with
 nothing to learn from, all are; ties go to the language of more labelled documents, then to
-the one that sorts first; repeated rows are rows of their own; an empty table gives an empty result. Other columns are left alone.
+the one that sorts first; repeated rows are rows of their own, but one excerpt at most is learned
+from rows alike; texts of any length are compressed whole; an empty table gives an empty result.
+Other columns are left alone; those named as the results are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,12 +31,13 @@ from ledgerloom.llm._shared import order_key, short_batches
 
 #: What a text is rejected below, of the score (see Model.predict).
 MARGIN = 0.01
-BETWEEN = re.compile(r"[\W\d_]+")
+BETWEEN, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 PREDICTION = "lang_pred string, score double, rejected boolean"
 
 
 def letters(text: str) -> bytes:
-    return BETWEEN.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
+    """The words of a text in UTF-8; nothing if it has no letter."""
+    return b"" if LETTER.search(text) is None else BETWEEN.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
 @dataclass(frozen=True)
@@ -75,13 +78,15 @@ def held_out(doc_id: Column) -> Column:
 def fit(labelled: DataFrame, *, excerpts: int = 192, excerpt_chars: int = 1200, seed: int = 5) -> Model:
     """Learn from labelled (doc_id, text, lang). The sample's ids are chosen on narrow rows, then joined to texts."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = usable.select("doc_id", "lang", order_key(seed, F.col("doc_id")).alias("_key"))
-    chosen = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id"))).filter(F.col("_n") <= excerpts).select("doc_id", "lang", "_key")
-    # At most `excerpts` rows for each language.
-    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    told = ["doc_id", "lang", "_key", "_hash"]
+    keyed = usable.select("doc_id", "lang", order_key(seed, F.col("doc_id")).alias("_key"), F.xxhash64("text").alias("_hash"), "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id", "_hash"))
+    chosen = keyed.select(*told).withColumn("_n", place).filter(F.col("_n") <= excerpts).select(*told).distinct()
     room = F.greatest(F.length("text") - excerpt_chars, F.lit(0)) + 1
     part = F.substring(F.col("text"), (F.pmod(F.col("_key"), room) + 1).cast("int"), F.lit(excerpt_chars))
-    rows = sorted((r["lang"], r["_key"], r["part"]) for r in texts.select("lang", "_key", part.alias("part")).collect())
+    # At most `excerpts` rows for each language are broadcast and come back, rows alike as one.
+    texts = keyed.join(F.broadcast(chosen), told).groupBy("lang", "_key", "doc_id", "_hash").agg(F.min(part).alias("part"))
+    rows = sorted((r["lang"], r["_key"], r["part"]) for r in texts.collect())
     by_lang: dict[str, list[str]] = {}
     for lang, _, text in rows:
         by_lang.setdefault(lang, []).append(text)
@@ -104,5 +109,7 @@ def predict(texts: Column, model: Model) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang) with held_out, lang_pred, score and rejected; learns from those not held out."""
     short_batches(docs.sparkSession)
+    docs = docs.drop("held_out", "lang_pred", "score", "rejected")
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
-    return docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("_p", predict(F.col("text"), model)).select("*", "_p.*").drop("_p")
+    told = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("_prediction", predict(F.col("text"), model))
+    return told.select(*docs.columns, "held_out", *[F.col(f"_prediction.{x}").alias(x) for x in ("lang_pred", "score", "rejected")])
