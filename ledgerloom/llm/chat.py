@@ -13,8 +13,9 @@ A conversation's turns meet in one task, as they must to be rendered as one text
 
 Defined results: turns are in order of (turn, role, text), nulls first; repeated rows are
 turns of their own; a null role is `unknown` and a null text is empty, also for the hashes; a
-turn without conv_id is a conversation of its own; an empty table gives an empty result. A
-control mark in a role or text is broken by a backslash, so no text can open or end a turn.
+turn without conv_id is a conversation of its own, so rows alike are copies of it; an empty table
+gives an empty result. A control mark in a role or text is broken by a backslash, so no text can
+open or end a turn. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -36,21 +37,23 @@ def rolling(turns: Column) -> Column:
 
 
 def conversations(logs: DataFrame) -> DataFrame:
-    """(key, conv_id, turns): one row for each conversation of logs (conv_id, turn, role, text)."""
-    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
-    # One key column stands for both, so that all that follows shares one shuffle.
-    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
-    keyed = logs.select(key.alias("key"), F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
-    whole = keyed.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    own = F.when(F.col("key").startswith("="), F.substring("key", 2, 1 << 30).cast(logs.schema["conv_id"].dataType))
-    return whole.select("key", own.alias("conv_id"), "turns")
+    """(key, conv_id, turns, copies): the conversations of logs (conv_id, turn, role, text); key is one column that stands for each."""
+    told = logs.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct("turn", "role", "text")
+    named = told.filter("conv_id is not null").select(F.concat(F.lit("="), F.col("conv_id").cast("string")).alias("key"), turn.alias("t"))
+    whole = named.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.select("key", F.substring("key", 2, 1 << 30).cast(logs.schema["conv_id"].dataType).alias("conv_id"), "turns", F.lit(1).cast("long").alias("copies"))
+    # Without a conv_id, the turn is its own key, the same in a task that runs again.
+    own = F.sha2(F.concat_ws("\n", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.length("role").cast("string"), "role", "text"), 256)
+    alone = told.filter("conv_id is null").groupBy(own.alias("key")).agg(F.first(turn).alias("t"), F.count(F.lit(1)).alias("copies"))
+    return whole.unionByName(alone.select("key", F.lit(None).cast(logs.schema["conv_id"].dataType).alias("conv_id"), F.array("t").alias("turns"), "copies"))
 
 
 def maximal(logs: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, turns) of the conversations that are no proper prefix of another."""
     whole = conversations(logs).withColumn("_hashes", rolling("turns")).withColumn("_hash", F.element_at("_hashes", -1))
     first = F.min_by("key", F.struct(F.col("conv_id").isNull(), F.col("conv_id"), F.col("key")))
-    unique = whole.groupBy("_hash").agg(first.alias("key"), F.count(F.lit(1)).alias("n_copies"))
+    unique = whole.groupBy("_hash").agg(first.alias("key"), F.sum("copies").alias("n_copies"))
     prefixes = whole.select(F.explode(F.slice("_hashes", 1, F.size("_hashes") - 1)).alias("_hash")).distinct()
     kept = unique.join(prefixes, "_hash", "left_anti").select("key", "n_copies")
     return whole.join(kept, "key").select("conv_id", F.size("turns").alias("n_turns"), "n_copies", "turns")

@@ -191,23 +191,36 @@ def _row(head: dict[str, str], block: bytes) -> tuple:
 
 
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Every record (see RECORD) of the bundles that the index names, frame by frame."""
+    """Every record (see RECORD) of the index, found by its offsets: each frame is sought and read by itself, and its records are cut out of it."""
     folder = archive.folder
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        unpacker = zstandard.ZstdDecompressor()
+        unpacker, file, name, place, data = zstandard.ZstdDecompressor(), None, None, None, b""
         for batch in batches:
-            for name in batch.column("bundle").to_pylist():
-                with store.open_input_file(f"{root}/{name}") as file:
-                    bundle = file.read()
-                for at, packed, plain in frames(bundle):
-                    data = unpacker.decompress(bundle[at : at + packed], max_output_size=plain)
-                    yield _batch([_row(*x) for x in parse(data)], RECORD)
-
-    bundles = archive.index.select("bundle").distinct()
-    tasks = max(1, min(bundles.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return bundles.repartition(tasks).mapInArrow(read, from_arrow_schema(RECORD))
+            out, held = [], 0
+            for record_id, bundle, _, frame_at, frame_bytes, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bundle != name:
+                    if file is not None:
+                        file.close()
+                    file, name, place = store.open_input_file(f"{root}/{bundle}"), bundle, None
+                if frame_at != place:
+                    file.seek(frame_at)
+                    data, place = unpacker.decompress(file.read(frame_bytes)), frame_at
+                ((head, block),) = parse(data[at : at + size])
+                if head["WARC-Record-ID"] != f"<{record_id}>":
+                    raise ValueError(f"{record_id} isn't where the index has it in {bundle}")
+                out.append(_row(head, block))
+                held += size
+                if held >= 1 << 22:
+                    yield _batch(out, RECORD)
+                    out, held = [], 0
+            yield _batch(out, RECORD)
+        if file is not None:
+            file.close()
+
+    index = archive.index.select(*INDEX.names)
+    return index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at").mapInArrow(read, from_arrow_schema(RECORD))
 
 
 def read_record(folder: str, bundle: str, frame_at: int, frame_bytes: int, at: int, size: int) -> tuple[dict[str, str], bytes]:

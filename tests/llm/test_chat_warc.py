@@ -36,7 +36,7 @@ def test_maximal_conversations_match_brute_force(spark):
         for turn in range(draw.randint(1, 4)):
             rows.append((conv, turn, *draw.choice(turns), "s"))
     rows += [(100, t, "user", "hot", "s") for t in range(50)] + [(101, t, "user", "hot", "s") for t in range(49)]
-    rows += [(None, 0, "user", "a", "s"), (None, None, None, None, "s"), (7, 0, "user", "a", "s"), (102, None, "user", "x", "s"), (102, None, "user", "x", "s")]
+    rows += [(None, 0, "user", "a", "s"), (None, 0, "user", "a", "s"), (None, 5, "user", "lone", "s"), (None, 6, "user", "lone", "s"), (None, None, None, None, "s"), (7, 0, "user", "a", "s"), (102, None, "user", "x", "s"), (102, None, "user", "x", "s")]
     got = chat.render(chat.maximal(spark.createDataFrame(rows, LOGS).repartition(5))).collect()
     assert sorted(((r["conv_id"], r["n_turns"], r["n_copies"]) for r in got), key=str) == brute_maximal(rows)
 
@@ -95,3 +95,16 @@ def test_smallest_payloads_that_are_linked(spark):
 def test_no_pages(spark):
     archive = warc.write_archive(spark.createDataFrame([], PAGES))
     assert warc.read_archive(spark, archive).collect() == []
+
+
+def test_very_long_turns_and_clashing_columns(spark):
+    logs = spark.createDataFrame([(1, 0, "user", "x" * 2_000_000, 1), (2, 0, "user", "x" * 2_000_000, 1), (2, 1, "user", "end", 1)], "conv_id long, turn long, role string, text string, key int")
+    (row,) = chat.render(chat.maximal(logs)).collect()
+    assert (row["conv_id"], row["n_turns"]) == (2, 2) and len(row["rendered"]) > 2_000_000
+
+
+def test_an_index_that_names_another_record_is_an_error(spark):
+    archive = warc.write_archive(spark.createDataFrame(ROWS[:2], PAGES))
+    wrong = warc.Archive(archive.folder, archive.index.withColumn("record_id", F.lit("urn:page:77")))
+    with pytest.raises(Exception, match="isn't where the index has it"):
+        warc.read_archive(spark, wrong).collect()
