@@ -2,13 +2,16 @@
 
 The texts of a source, laid end to end in a seeded order, are a stream of words. It is cut
 into blocks of an equal number of words. Seats of the mix, one block each, go to the sources
-by highest quotient w / (2k - 1): this method is house-monotone, so any run of seats is
-itself an apportionment and every shard of the mix gets integer quotas. A source's seats take
-its blocks in a seeded order, starting over when it has been gone through.
+by highest quotient w / (2k - 1); a source that is bound to `most` times its size has all its
+blocks so often. This method is house-monotone: the first seats of a mix are the mix of a smaller
+house, so the shards, which get runs of seats, have integer quotas of each source. A shard's quota
+of a source takes its blocks in a seeded order, from where the shard before it ended, and starts
+over at the end.
 
 Everything is DataFrame functions. Defined results: a null text has no words; a null source is
-a source of its own, last in order; documents without words take nothing; a repeated row is
-one more document; an empty table gives an empty result. Other columns are left alone.
+a source of its own, last in order; documents without words take nothing; texts of any length are
+counted whole and may lie in many blocks; a repeated row is one more document; an empty table
+gives an empty result. Other columns are left out, unless `keep` names them.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ CYCLE = (5, 2, 1)
 
 @dataclass(frozen=True)
 class Mix:
-    """rows: (doc_id, source, size, taken, source_size, target, ...) per document;
-    sources: (source, weight, source_size, target, seats, n_blocks, block_words) per source;
-    quotas: (shard, source, blocks), the integer quota of each source in each shard."""
+    """rows: (doc_id, source, size, taken, source_size, target, shard_taken, ...) per document, shard_taken with the words
+    that each shard takes, which add up to taken;
+    sources: (source, weight, source_size, target, seats, n_blocks, block_words, quotas) per source;
+    quotas: (shard, source, blocks), the integer quota of each source in each shard, where it has any."""
 
     rows: DataFrame
     sources: DataFrame
@@ -71,19 +75,31 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...], most: int) -> DataFrame:
     )
 
 
-def seats(plan: DataFrame) -> DataFrame:
-    """(source, rank, seat, place): the seats of the sources that aren't full, by highest quotient.
+def seats(plan: DataFrame, shards: int) -> DataFrame:
+    """(rank, upto): for each source that isn't full, its seats in the houses that end with each shard, by highest quotient.
 
-    A source wins at most its quota, plus its part of half a seat for each source, plus one;
-    so many candidates are listed, and the best `house` of them win. Ties go to the source
-    that comes first. Rows: the blocks of the mix, a parameter times the sources.
+    A seat wins if its quotient is no less than a divisor; the divisor of a house lies between two that would give all
+    sources half a seat more or less. Seats over the first are sure and are only counted; those between, two for each
+    source and a few, are ranked. Ties go to the source that comes first.
     """
-    quota = F.col("weight") / F.col("free_weight") * (F.col("house") + F.col("free_sources") / 2.0)
-    most = F.least(F.ceil(quota + 1.0).cast("long"), F.col("n_blocks") * F.col("most"))
-    listed = plan.filter(~F.col("full")).select("source", "rank", "weight", "house", F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("seat"))
+    shard = F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")
+    free = plan.filter(~F.col("full")).select("rank", "weight", "free_weight", "free_sources", "house", (F.col("n_blocks") * F.col("most")).alias("bound"), shard)
+    free = free.withColumn("size", F.floor(F.col("house") * F.col("shard") / shards))
+    half = F.col("free_sources") / 2.0
+    # Seats of a source whose quotient w / (2k - 1) is at least W / (2h) are those with k up to w / W h + 1 / 2.
+    upto = lambda h: F.floor(F.col("weight") / F.col("free_weight") * h + 0.5)
+    sure = F.greatest(F.least(upto(F.col("size") - half) - 1, F.col("bound")), F.lit(0))
+    most = F.least(upto(F.col("size") + half) + 1, F.col("bound"))
+    listed = free.withColumn("sure", sure).withColumn("between", F.greatest(most, F.col("sure")))
+    house = Window.partitionBy("shard")
+    left = listed.withColumn("left", F.col("size") - F.sum("sure").over(house))
+    seat = F.explode(F.sequence(F.col("sure"), F.col("between"))).alias("seat")  # `sure` itself stands for what is sure
     quotient = F.col("weight") / (2.0 * F.col("seat") - 1.0)
-    place = F.row_number().over(Window.orderBy(quotient.desc(), "rank"))
-    return listed.withColumn("place", place).filter(F.col("place") <= F.col("house"))
+    open_ = left.select("rank", "weight", "shard", "sure", "left", seat).withColumn("listed", F.col("seat") > F.col("sure"))
+    place = F.row_number().over(Window.partitionBy("shard", "listed").orderBy(quotient.desc(), "rank"))
+    won = open_.withColumn("won", (F.col("listed") & (place <= F.col("left"))).cast("long"))
+    totals = won.groupBy("rank", "shard").agg((F.max("sure") + F.sum("won")).alias("n"))
+    return totals.groupBy("rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "n"))), lambda x: x["n"]).alias("upto"))
 
 
 def mix(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, most: int = 3, blocks_per_weight: int = 1024, shards: int = 8, seed: int = 17, keep: tuple[str, ...] = ()) -> Mix:
@@ -101,33 +117,41 @@ def mix(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, most: int = 3, block
     )
     plan = durable(plan)
     n_sources = plan.count()
-    won = durable(seats(plan))
-    plan = plan.join(won.groupBy("rank").agg(F.count(F.lit(1)).alias("seats")), "rank", "left").withColumn("seats", F.coalesce("seats", F.lit(0).cast("long")))
+    whole = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda q: F.floor(F.col("n_blocks") * most * q / shards))
+    upto = F.when(F.col("full"), whole).otherwise(F.coalesce("upto", F.array_repeat(F.lit(0).cast("long"), shards)))
+    plan = durable(plan.join(seats(plan, shards), "rank", "left").withColumn("upto", upto).withColumn("seats", F.element_at("upto", -1)))
+    quota = F.transform("upto", lambda n, i: n - F.when(i > 0, F.get("upto", i - 1)).otherwise(F.lit(0)))
+    plan = plan.withColumn("quotas", quota)
 
-    # The repeats of each block: a seeded order of a source's blocks, gone through again and again.
+    # How often each shard takes each block: a seeded order of a source's blocks, gone through again and again.
     in_source = Window.partitionBy("rank")
-    blocks = plan.filter(~F.col("full")).select("rank", "source_size", "block_words", "n_blocks", "seats", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    blocks = plan.select("rank", "source_size", "block_words", "n_blocks", "upto", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block")).filter("n_blocks > 0")
     blocks = blocks.withColumn("turn", F.row_number().over(in_source.orderBy(order_key(seed, F.col("rank"), F.col("block")), "block")) - 1)
-    blocks = blocks.withColumn("repeats", F.floor((F.col("seats") + F.col("n_blocks") - 1 - F.col("turn")) / F.col("n_blocks")))
+    # Of the first n seats, those that fall to the block that is `turn`-th in order.
+    so_far = lambda n: F.floor((n + F.col("n_blocks") - 1 - F.col("turn")) / F.col("n_blocks"))
+    blocks = blocks.withColumn("repeats", F.transform("upto", lambda n, i: so_far(n) - F.when(i > 0, so_far(F.get("upto", i - 1))).otherwise(F.lit(0))))
     length = F.least(F.col("block_words"), F.col("source_size") - F.col("block") * F.col("block_words"))
-    before = F.coalesce(F.sum(F.col("repeats") * length).over(in_source.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = in_source.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.array(*[F.coalesce(F.sum(F.col("repeats")[q] * length).over(earlier), F.lit(0)) for q in range(shards)])
     blocks = durable(blocks.select("rank", "block", "repeats", before.alias("before")))
     n_blocks = blocks.count()
 
     placed = running_start(base, ["source"], "_key", "size", bits, ["doc_id"], "_start")
-    facts = plan.select(F.col("source").alias("_source"), "rank", "full", "block_words", "source_size", "target")
+    facts = plan.select(F.col("source").alias("_source"), "rank", "block_words", "source_size", "target")
     placed = placed.join(small(facts, n_sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ends = F.col("_start") + F.col("size")
     for name, at in (("first", F.col("_start")), ("last", F.greatest(ends - 1, F.col("_start")))):
         side = small(blocks.select(F.col("rank").alias("_r"), F.col("block").alias("_b"), F.col("repeats").alias(f"_{name}_repeats"), F.col("before").alias(f"_{name}_before")), n_blocks)
         here = F.floor(at / F.col("block_words"))
         placed = placed.withColumn(f"_{name}_block", here).join(side, (F.col("rank") == F.col("_r")) & (F.col(f"_{name}_block") == F.col("_b")), "left").drop("_r", "_b")
-    up_to = lambda name, x: F.col(f"_{name}_before") + F.col(f"_{name}_repeats") * (x - F.col(f"_{name}_block") * F.col("block_words"))
-    taken = F.when(F.col("size") == 0, F.lit(0)).when(F.col("full"), F.col("size") * most).otherwise(up_to("last", ends) - up_to("first", F.col("_start")))
-    rows = placed.select("doc_id", *keep, "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
-    shard = F.floor((F.col("place") - 1) * shards / F.col("house")).cast("int")
-    quotas = won.groupBy(shard.alias("shard"), "source").agg(F.count(F.lit(1)).alias("blocks"))
-    return Mix(rows, plan.select("source", "weight", "source_size", "target", "seats", "n_blocks", "block_words"), quotas)
+    up_to = lambda name, x: F.zip_with(f"_{name}_before", f"_{name}_repeats", lambda b, r: b + r * (x - F.col(f"_{name}_block") * F.col("block_words")))
+    own = F.zip_with(up_to("last", ends), up_to("first", F.col("_start")), lambda b, a: (b - a).cast("long"))
+    nothing = F.array_repeat(F.lit(0).cast("long"), shards)
+    placed = placed.withColumn("shard_taken", F.when(F.col("size") > 0, own).otherwise(nothing))
+    taken = F.aggregate("shard_taken", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = placed.select("doc_id", *keep, "size", "source_size", "target", taken.alias("taken"), "source", "shard_taken")
+    quotas = plan.select("source", F.posexplode("quotas").alias("shard", "blocks")).filter("blocks > 0").select("shard", "source", "blocks")
+    return Mix(rows, plan.select("source", "weight", "source_size", "target", "seats", "n_blocks", "block_words", "quotas"), quotas)
 
 
 def copies(docs: DataFrame, mixed: DataFrame, *, seed: int = 17) -> DataFrame:
