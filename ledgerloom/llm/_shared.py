@@ -20,8 +20,8 @@ LEAST_FILES, ROWS_A_FILE = 8, 50_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (local tests) a temporary folder takes its place, and it is
-    set as the checkpoint folder too.
+    Only where that is unset and Spark runs in one process (tests), a temporary folder takes its
+    place, and it is set as the checkpoint folder too; on a cluster it would be lost, so an error is raised.
     """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(known)
         return known.rstrip("/")
     if held is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="ledgerloom-checkpoints-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         sc.setCheckpointDir(f"file://{made}")

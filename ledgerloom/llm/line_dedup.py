@@ -6,14 +6,15 @@ all its pages. A line counts once for a page, however often it stands there.
 
 A host has less than (lines a page) / (share) such lines, whatever its number of pages, so
 they fit an array: the pages join one row for each host and filter their lines against it.
-Only page texts' hashes are counted; counts are combined before they are shuffled, so a host
+Lines are told by their MD5, and only those are counted; counts are combined before they are shuffled, so a host
 with a third of all pages, or a line that stands in all of them, is no hot spot.
 
 Defined results: pages without a host are left as they are, as they belong to no site; a null
 text stays null; lines that are blank, white space apart, are kept and not counted; lines are
 compared without white space at their ends; repeated rows and copies of a text are pages of their
-own, unless `distinct` counts a host's equal texts as one page (null texts too); other columns stay.
-A text whose lines are all dropped becomes empty.
+own, unless `distinct` counts a host's equal texts as one page (null texts too); texts and lines of
+any length are taken whole; an empty table gives an empty result; other columns stay, but for one
+named lines_dropped, which is replaced. A text whose lines are all dropped becomes empty.
 """
 
 from __future__ import annotations
@@ -47,15 +48,15 @@ def _lines(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    return F.xxhash64(F.trim(line, F.lit(" \t\r")))
+    return F.md5(F.trim(line, F.lit(" \t\r")))
 
 
 def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", *, share: float = 0.2, pages_least: int = 2, distinct: bool = False) -> DataFrame:
     """(host, lines): the hashes of a host's boilerplate lines. distinct: equal texts of a host count as one page."""
     own = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x, F.lit(" \t\r")) != ""), _key))
     # A null stands for the page itself: its count is the host's total.
-    marked = F.concat(F.array(F.lit(None).cast("long")), F.coalesce(own, F.array().cast("array<long>")))
-    kept = pages.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(F.col(text), F.col(text).isNull()).alias("page"), marked.alias("lines"))
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(own, F.array().cast("array<string>")))
+    kept = pages.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.md5(F.col(text)).alias("page"), marked.alias("lines"))
     if distinct:
         kept = kept.dropDuplicates(["host", "page"])
     held = kept.select("host", F.explode("lines").alias("line"))

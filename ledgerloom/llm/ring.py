@@ -9,8 +9,9 @@ All keys on one arc (between two points) try the shards in the same order, so th
 settled on the counts of the arcs, a table of shards x virtual rows however large the corpus
 is: it says how many keys of an arc go where, and a key finds its shard by its rank on the arc.
 
-Defined results: a null doc_id has the hash of an empty string; repeated rows are rows of their
-own, and their order doesn't matter; an empty table gives an empty result.
+Defined results: a null doc_id has the hash of an empty string; a null text has size 1 and a null
+checksum; texts of any length count whole; repeated rows are rows of their own, and their order
+doesn't matter; an empty table gives an empty result. Other columns are left out.
 """
 
 from __future__ import annotations

@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, langid, line_dedup
@@ -62,17 +65,40 @@ def test_held_out_languages(spark, medium_dir):
     assert set(rows.columns) == {*docs.columns, "held_out", "lang_pred", "score", "rejected"}
 
 
+def test_languages_match_a_plain_loop(spark, medium_dir):
+    """Dictionaries of the excerpts with the smallest hashes, and predictions, by a loop over the rows."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{medium_dir}/documents.parquet").collect()]
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[1] is not None and r[2] is not None]
+    options = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    plain = lambda text: regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip().encode() if regex.search(r"\p{L}", text) else b""
+    packers, seen = {}, Counter(r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2)
+    for lang in {r[2] for r in learn}:
+        hashed = sorted((int(hashlib.md5(f"5:{d}".encode()).hexdigest()[:15], 16), d, t) for d, t, x in learn if x == lang)[:192]
+        parts = sorted((k, t[k % (max(len(t) - 1200, 0) + 1) :][:1200]) for k, _, t in hashed)
+        content = zstandard.ZstdCompressionDict(b" ".join(plain(t) for _, t in parts), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers[lang] = zstandard.ZstdCompressor(compression_params=options, dict_data=content)
+    want = {}
+    for d, text, _ in rows:
+        data = plain(text or "")
+        sizes = sorted((sum(len(p.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)), -seen[x], x) for x, p in packers.items())
+        want[d] = (sizes[0][2], min(1.0, 4 * (1 - sizes[0][0] / sizes[1][0]))) if data else ("und", 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.read.parquet(f"{medium_dir}/documents.parquet")).collect()}
+    assert got.keys() == want.keys() and all(got[d][0] == want[d][0] and got[d][1] == pytest.approx(want[d][1]) for d in want)
+
+
 def test_language_edge_cases(spark):
-    schema = "doc_id long, text string, lang string, score_of string"
+    schema = "doc_id long, text string, lang string, score string"
     en, fr = "the cat and the dog went over the hill " * 20, "le chat et le chien sont sur la colline " * 20
     learn = [(i, f"{en} {i}", "en", "") for i in range(30)] + [(i + 30, f"{fr} {i}", "fr", "") for i in range(30)]
-    odd = [(100, None, "en", ""), (101, "", None, ""), (102, "123 !!!", "fr", ""), (None, en, None, ""), (103, en * 500, None, ""), (103, en * 500, None, "")]
+    odd = [(100, None, "en", ""), (101, "", None, ""), (102, "123 ½ ² ① !!! ́", "fr", ""), (None, en, None, ""), (103, en * 500, None, ""), (103, en * 500, None, "")]
     got = defaultdict(list)
     for r in langid.identify(spark.createDataFrame(learn + odd, schema)).collect():
         got[r["doc_id"]].append(r)
     assert {got[i][0]["lang_pred"] for i in (100, 101, 102)} == {"und"} and all(got[i][0]["rejected"] for i in (100, 101, 102))
     assert got[None][0]["lang_pred"] == "en" and [r["lang_pred"] for r in got[103]] == ["en", "en"]
-    assert got[35][0]["lang_pred"] == "fr"
+    assert got[35][0]["lang_pred"] == "fr" and isinstance(got[35][0]["score"], float)
+    hot = [(7, f"{en} {i}", "en", "") for i in range(400)] + [(8, en, "en", "")] * 400
+    assert len(langid.fit(spark.createDataFrame(hot, schema).repartition(4)).dictionaries["en"]) <= 192 * 1201
     assert langid.identify(spark.createDataFrame([], schema)).collect() == []
     assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame(odd[1:2] + odd[4:5], schema)).collect()} == {"und"}
 
@@ -116,3 +142,17 @@ def test_hosts_and_page_texts(spark):
 
 def test_no_lines(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "page_id long, host string, text string")).collect() == []
+
+
+def test_odd_texts_in_encoding(spark, public):
+    docs = spark.createDataFrame([(1, "clash " * 50_000, "x"), (2, None, "x"), (2, None, "x")], "doc_id long, text string, ids string")
+    got = docs.select("*", bpe.digests(F.col("text"), PATH, public_tokenizers.PATTERN).alias("d")).collect()
+    assert sorted(r["d"]["n_tokens"] for r in got) == [0, 0, len(public.encode_ordinary("clash " * 50_000))]
+    assert docs.limit(0).select(bpe.encode(F.col("text"), PATH, public_tokenizers.PATTERN)).collect() == []
+
+
+def test_long_lines_and_pages(spark):
+    long = "\n".join(f"line {i} {'x' * 50}" for i in range(20_000))
+    rows = [(i, "h", f"{long}\n{'y' * 500_000}\nown {i}") for i in range(2)] + [(9, "h", "own 9")]
+    got = {r["page_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, host string, text string, lines_dropped int")).collect()}
+    assert got == {0: "own 0", 1: "own 1", 9: "own 9"}
