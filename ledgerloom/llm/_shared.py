@@ -56,9 +56,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def short_batches(spark: SparkSession, most: str = "4m") -> None:
-    """Have whole texts sent to Python in Arrow batches of `most` bytes or little more, where the session allows more."""
+    """Have whole texts sent to Python in Arrow batches of `most` bytes or little more, where the session doesn't say otherwise.
+
+    Spark's default, which is by rows first, makes batches that a worker holds several times.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) == "67108864b":  # Spark's default, which a worker holds several times
+    if spark.conf.get(name, None) is None:
         spark.conf.set(name, most)
 
 

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, SparkSession
@@ -30,10 +31,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm._shared import short_batches
 
 
+#: Characters from which a text is long, and the pieces of a long text that are held at once.
+LONG, PIECES = 1 << 18, 1 << 15
+
+
 class Vocabulary:
     """Ranks of byte strings, with the automaton that finds all tokens ending at each byte."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, *, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, keep: int = 150_000):
         self.ranks, self.pattern, self.keep = ranks, regex.compile(pattern), keep
         self.tokens, self.longest = {n: t for t, n in ranks.items()}, max(map(len, ranks))
         self.found = ahocorasick.Automaton()
@@ -88,8 +93,22 @@ class Vocabulary:
         whole = self.ranks.get(piece)
         return (whole,) if whole is not None else tuple(Prefixes(self, piece).ids())
 
-    def encode(self, text: str) -> list[int]:
-        pieces, known = self.pattern.findall(text), self.pieces
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, in one part or, so that a long text's pieces aren't all held, in several."""
+        if len(text) <= LONG:
+            yield self.ids_of(self.pattern.findall(text))
+        else:
+            found = self.pattern.finditer(text)
+            while pieces := [m.group() for m in islice(found, PIECES)]:
+                yield self.ids_of(pieces)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        own = [np.array(x, np.int32) for x in self.parts(text)]
+        return own[0] if len(own) == 1 else np.concatenate(own)
+
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        known = self.pieces
         if len(known) >= self.keep:  # the older half goes
             for piece in list(islice(known, len(known) // 2)):
                 del known[piece]
@@ -206,8 +225,14 @@ def digests(texts: Column, path: str, pattern: str) -> Column:
         for batch in batches:
             rows = []
             for text in batch:
-                ids = known.encode(text or "")
-                rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(known.decode(ids)).hexdigest()))
+                n, told, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in known.parts(text or ""):
+                    if n and ids:
+                        told.update(b",")
+                    n += len(ids)
+                    told.update(",".join(map(names.__getitem__, ids)).encode())
+                    decoded.update(known.decode(ids))
+                rows.append((n, told.hexdigest(), decoded.hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(texts)

@@ -145,9 +145,9 @@ def test_no_lines(spark):
 
 
 def test_odd_texts_in_encoding(spark, public):
-    docs = spark.createDataFrame([(1, "clash " * 50_000, "x"), (2, None, "x"), (2, None, "x")], "doc_id long, text string, ids string")
+    docs = spark.createDataFrame([(1, "clash " * 90_000, "x"), (2, None, "x"), (2, None, "x")], "doc_id long, text string, ids string")
     got = docs.select("*", bpe.digests(F.col("text"), PATH, public_tokenizers.PATTERN).alias("d")).collect()
-    assert sorted(r["d"]["n_tokens"] for r in got) == [0, 0, len(public.encode_ordinary("clash " * 50_000))]
+    assert sorted(r["d"]["n_tokens"] for r in got) == [0, 0, len(public.encode_ordinary("clash " * 90_000))]
     assert docs.limit(0).select(bpe.encode(F.col("text"), PATH, public_tokenizers.PATTERN)).collect() == []
 
 
