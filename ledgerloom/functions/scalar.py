@@ -136,3 +136,42 @@ def blended(p: Sequence[C], weights: Sequence[float]) -> Column:
 
 def without_background(p_normal: C, p_fraud: C) -> Column:
     return col(p_fraud) / F.greatest(col(p_normal) + col(p_fraud), F.lit(1e-12))
+
+
+def time_position(bucket: C, buckets: int) -> Column:
+    """A bucket's place between 0 and 1."""
+    return col(bucket).cast("double") / F.lit(float(max(buckets - 1, 1)))
+
+
+def one_hot(code: C, codes: int) -> list[Column]:
+    return [(col(code) == F.lit(i)).cast("double") for i in range(codes)]
+
+
+def cold_prior(support: C) -> Column:
+    """How little is known of something that was seen so often."""
+    return F.lit(1.0) / (F.lit(1.0) + col(support))
+
+
+def risk_scale(parts: Sequence[C], weights: Sequence[float], strength: float) -> Column:
+    """A message's factor around 1: the sigmoid of a weighted sum, less one half, times the strength."""
+    return F.lit(1.0) + F.lit(strength) * (sigmoid(total([col(p) * F.lit(w) for p, w in zip(parts, weights, strict=True)])) - F.lit(0.5))
+
+
+def trailing_digits(text: C) -> Column:
+    """The digits at the end of a text as a number, null without any."""
+    return F.nullif(F.regexp_extract(col(text), r"(\d+)$", 1), F.lit("")).cast("long")
+
+
+def has_cjk(text: C) -> Column:
+    """Whether a text has a character of the unified CJK ideographs."""
+    return col(text).rlike("[\\x{4e00}-\\x{9fff}]")
+
+
+def object_id(position: C, owner: C) -> Column:
+    """P-dddd-nnnnnn: an owner's number and a position in it."""
+    return F.format_string("P-%04d-%06d", col(owner).cast("long"), col(position).cast("long"))
+
+
+def expired(created: C, now: C, minutes: int) -> Column:
+    """Whether so many minutes have passed since a timestamp."""
+    return col(created) + F.expr(f"INTERVAL {minutes} MINUTES") <= col(now)

@@ -19,10 +19,11 @@ RECENT_WINDOWS = (3, 7, 14, 30)
 
 
 def adjacency(edges: DataFrame, *extra: str) -> DataFrame:
-    """(center, neighbor, dir, edge_type, day): each edge seen from its source (`out`) and its target (`in`)."""
+    """(center, neighbor, dir, edge_type, day): each edge seen from its source (`out`) and its target (`in`), in one pass over the edges."""
     rest = ["edge_type", "day", *extra]
-    out = edges.select(F.col("src").alias("center"), F.col("dst").alias("neighbor"), F.lit("out").alias("dir"), *rest)
-    return out.unionByName(edges.select(F.col("dst").alias("center"), F.col("src").alias("neighbor"), F.lit("in").alias("dir"), *rest))
+    seen = lambda center, neighbor, d: F.struct(F.col(center).alias("center"), F.col(neighbor).alias("neighbor"), F.lit(d).alias("dir"))
+    both = F.explode(F.array(seen("src", "dst", "out"), seen("dst", "src", "in"))).alias("_seen")
+    return edges.select(both, *rest).select("_seen.center", "_seen.neighbor", "_seen.dir", *rest)
 
 
 def labelled(g: GraphFrame) -> DataFrame:

@@ -78,3 +78,16 @@ def aligned(reference: DataFrame, predictions: DataFrame) -> DataFrame:
     joined = reference.join(predictions.select("node_id", "probability"), "node_id", "left")
     value = F.when(F.col("probability").isNull(), F.raise_error(F.concat(F.lit("no prediction for node "), F.col("node_id").cast("string")))).otherwise(F.col("probability"))
     return joined.select("pos", "node_id", value.cast("double").alias("probability"))
+
+
+def label_codes(nodes: DataFrame, train: DataFrame, background: Sequence[int], unknown: int = 4) -> DataFrame:
+    """(node_id, code): a training node's label, a background node's label, and `unknown` for all others."""
+    known = nodes.join(train.select(F.col("node_id").alias("_id")).distinct(), F.col("node_id") == F.col("_id"), "left")
+    code = F.when(F.col("_id").isNotNull() | F.col("y").isin(*background), F.col("y")).otherwise(F.lit(unknown))
+    return known.select("node_id", code.cast("int").alias("code"))
+
+
+def historical_background(nodes: DataFrame, activity: DataFrame, background: Sequence[int], until: int) -> DataFrame:
+    """(node_id): background nodes that were active by a day."""
+    early = activity.filter(F.col("first_active") <= until).select("node_id")
+    return nodes.filter(F.col("y").isin(*background)).select("node_id").join(early, "node_id", "left_semi")

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame
-from ledgerloom.functions.scalar import col
-from ledgerloom.operators.graph import _dir, activity, adjacency, complete, counted, degrees, edge_age, recent_counts
+from ledgerloom.functions.scalar import col, total
+from ledgerloom.operators.graph import _dir, activity, adjacency, background_touch, complete, counted, degrees, edge_age, recent_counts
 
 BUCKET_DAYS = 30
 ADAPTIVE_WINDOWS = (3, 7, 14, 30, 60, 90)
@@ -118,6 +118,15 @@ def missing_zscore(g: GraphFrame) -> DataFrame:
     return z.join(m, "node_id")
 
 
+def bucket_norm(g: GraphFrame) -> DataFrame:
+    """missing_zscore, and the missing count, log1p degrees, background shares and log1p background total normalised within the cohort."""
+    touch = background_touch(g).select("node_id", "bg_in_ratio", "bg_out_ratio", "bg_total_ratio", F.log1p("bg_total_count").alias("log_bg_total"))
+    gone = total([(F.col(c) == -1.0).cast("double") for c in g.schema.raw_columns])
+    rows = g.nodes.select("node_id", gone.alias("missing_count")).join(degrees(g), "node_id").join(touch, "node_id").join(with_cohort(g), "node_id")
+    columns = {"missing_count": "missing_count"} | {f"log_{d}": F.log1p(d) for d in ("indegree", "outdegree", "total_degree")} | {c: c for c in ("bg_in_ratio", "bg_out_ratio", "bg_total_ratio", "log_bg_total")}
+    return missing_zscore(g).join(z_scores(rows, {f"tb{BUCKET_DAYS}_{n}_z": (c, None) for n, c in columns.items()}), "node_id")
+
+
 def time_detrend(g: GraphFrame) -> DataFrame:
     """Edge ages and the share of the last 30 days, normalised within the cohort."""
     rows = edge_age(g).join(recent_counts(g, (30,)), "node_id").join(with_cohort(g), "node_id")

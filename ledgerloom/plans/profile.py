@@ -180,3 +180,41 @@ def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins:
     share = lambda n, t: F.greatest(F.col(n) / F.col(t), F.lit(1e-6))
     terms = filled.join(totals, "feature").select("feature", ((share("p", "tp") - share("q", "tq")) * F.ln(share("p", "tp") / share("q", "tq"))).alias("t"))
     return terms.groupBy("feature").agg(F.sum("t").alias("psi")).orderBy(F.col("psi").desc(), "feature")
+
+
+def observed_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, n, mean, std) of the values that aren't missing; the deviation is 1 where it is all but 0."""
+    value = F.when(F.col("value") != -1.0, F.col("value"))
+    found = unpivoted(df, columns).groupBy("feature").agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.stddev_pop(value).alias("s"))
+    return found.select("feature", "n", "mean", F.when(F.coalesce("s", F.lit(0.0)) > 1e-6, F.col("s")).otherwise(1.0).alias("std"))
+
+
+def consistency_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(node_id, c0, c1, ...): standardised values, 0 for missing ones, then their missing marks, as a vector of length 1."""
+    stats = {r["feature"]: r for r in observed_stats(df, columns).collect()}  # a row for each column
+    gone = [(F.col(c) == -1.0).cast("double") for c in columns]
+    z = [F.when(F.col(c) == -1.0, 0.0).otherwise((F.col(c) - F.lit(stats[c]["mean"] if c in stats else 0.0)) / F.lit(stats[c]["std"] if c in stats else 1.0)) for c in columns]
+    rows = df.select("node_id", F.array(*z, *gone).alias("_v"))
+    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    scaled = rows.select("node_id", "_v", F.greatest(length, F.lit(1e-6)).alias("_l"))
+    return scaled.select("node_id", *[(F.col("_v")[i] / F.col("_l")).alias(f"c{i}") for i in range(2 * len(columns))])
+
+
+def phase_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, labelled and unknown nodes, frauds among the labelled."""
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("y").isin(NORMAL, FRAUD)).alias("labelled"), F.count_if(F.col("y") == UNKNOWN).alias("unknown"), F.count_if(F.col("y") == FRAUD).alias("frauds"))
+    return n.crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"), F.max("day").alias("last_day"))))  # two single rows
+
+
+def degree_shift(g: GraphFrame, day: int) -> DataFrame:
+    """(side, nodes, mean_degree, mean_first_active): nodes that became active before a day and from it on."""
+    rows = degrees(g).join(activity(g), "node_id").withColumn("side", F.when(F.col("first_active") < day, "reference").otherwise("current"))
+    return rows.groupBy("side").agg(F.count(F.lit(1)).alias("nodes"), F.avg("total_degree").alias("mean_degree"), F.avg("first_active").alias("mean_first_active"))
+
+
+def type_shift(g: GraphFrame, day: int) -> DataFrame:
+    """(edge_type, reference, current, shift): the share of each edge type before a day and from it on, and the difference."""
+    late = F.col("day") >= day
+    counts = g.edges.groupBy("edge_type").agg(F.count_if(~late).alias("p"), F.count_if(late).alias("q"))
+    share = lambda c: F.col(c) / F.greatest(F.sum(c).over(_everything()), F.lit(1))  # noqa: E731  a row for each type
+    return counts.select("edge_type", share("p").alias("reference"), share("q").alias("current"), (share("q") - share("p")).alias("shift"))
