@@ -10,6 +10,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranks import medians, quantiles
+
 MISSING = -1.0
 
 
@@ -21,8 +23,8 @@ def seen(c: str):
 def constant_fill(nodes: DataFrame, columns: Sequence[str], how: str = "median") -> DataFrame:
     """nodes with missing values filled by the column's median, by zero, or left missing (how: median, zero, missing)."""
     if how == "median":
-        row = nodes.agg(*[F.median(seen(c)).alias(c) for c in columns]).first()
-        values = {c: row[c] if row[c] is not None else 0.0 for c in columns}
+        found = medians(nodes, {c: seen(c) for c in columns})
+        values = {c: found.get(c, 0.0) for c in columns}
     else:
         values = dict.fromkeys(columns, 0.0 if how == "zero" else MISSING)
     return nodes.select("node_id", *[F.coalesce(seen(c), F.lit(values[c])).alias(c) for c in columns])
@@ -88,12 +90,12 @@ def ridge_fill(nodes: DataFrame, target: str, predictors: Sequence[str], *, alph
     base = constant_fill(nodes, predictors)
     rows = base.join(nodes.select("node_id", seen(target).alias("_t")), "node_id")
     known = rows.filter(F.col("_t") >= 0).withColumn("_log", F.log1p("_t"))
-    facts = known.agg(F.count(F.lit(1)).alias("n"), F.percentile("_t", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()
+    facts = known.agg(F.count(F.lit(1)).alias("n")).first()
     if not facts["n"]:
         return rows.select("node_id", F.coalesce("_t", F.lit(0.0)).alias(target), F.col("_t").isNull().alias("filled"))
     vector = VectorAssembler(inputCols=list(predictors), outputCol="_x")
     model = LinearRegression(featuresCol="_x", labelCol="_log", regParam=alpha / facts["n"], elasticNetParam=0.0, solver="normal").fit(vector.transform(known))
-    low, high = facts["q"]
+    low, high = quantiles(known, "_t", [0.01, 0.99])[()]
     w = [float(c) for c in model.coefficients]
     value = F.least(F.greatest(F.expm1(_linear(predictors, w, model.intercept)), F.lit(float(low))), F.lit(float(high)))
     return rows.select("node_id", F.coalesce("_t", value).alias(target), F.col("_t").isNull().alias("filled"))

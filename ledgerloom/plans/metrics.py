@@ -6,12 +6,13 @@ the score: a range's totals are summed on their own, so that no task orders all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import FRAUD, NORMAL, GraphFrame
 from ledgerloom.functions.scalar import log_loss
 from ledgerloom.operators.graph import activity
+from ledgerloom.operators.ranks import running
 
 CUTS = (0.80, 0.75, 0.70, 0.65, 0.60, 0.55)
 
@@ -22,17 +23,8 @@ def thresholds(scored: DataFrame, ranges: int = 64) -> DataFrame:
     scored is (y, score); rows whose y isn't 0 or 1, or without a score, don't count.
     """
     counts = scored.filter(F.col("y").isin(0, 1) & F.col("score").isNotNull()).groupBy("score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    cuts = counts.select(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000).alias("c")).first()["c"] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col("score") < c).cast("int")
-    dealt = counts.withColumn("_part", part)
-    totals = dealt.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", *[F.coalesce(F.sum(f"_{x}").over(before), F.lit(0)).alias(f"_s{x}") for x in "pn"])
-    inside = Window.partitionBy("_part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = dealt.withColumn("_ip", F.sum("p").over(inside)).withColumn("_in", F.sum("n").over(inside)).join(F.broadcast(starts), "_part")  # `ranges` rows
-    return run.select("score", "p", "n", (F.col("_sp") + F.col("_ip")).alias("tp"), (F.col("_sn") + F.col("_in")).alias("fp"))
+    run = running(counts, "score", ["p", "n"], descending=True, ranges=ranges)
+    return run.select("score", "p", "n", F.col("upto_p").alias("tp"), F.col("upto_n").alias("fp"))
 
 
 def metrics(scored: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.contract import FRAUD, NORMAL, UNKNOWN, GraphFrame
 from ledgerloom.operators.graph import activity, adjacency, degrees
+from ledgerloom.operators.ranks import quantiles, running
 from ledgerloom.operators.windows import edge_time_windows
 
 QUANTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
@@ -51,14 +52,24 @@ def feature_profile(g: GraphFrame) -> DataFrame:
         of(NORMAL).alias("normal_mean"),
         of(FRAUD).alias("fraud_mean"),
         F.avg((F.col("value") == -1.0).cast("double")).alias("missing_ratio"),
-        F.percentile("value", F.array(*[F.lit(q) for q in QUANTILES])).alias("q"),
     )
-    return found.select("feature", "mean", "std", "normal_mean", "fraud_mean", F.abs(F.col("fraud_mean") - F.col("normal_mean")).alias("mean_gap"), "missing_ratio", *[F.col("q")[i].alias(f"q{round(100 * q):02d}") for i, q in enumerate(QUANTILES)])
+    names = [f"q{round(100 * q):02d}" for q in QUANTILES]
+    cuts = quantiles(rows, "value", QUANTILES, ["feature"])
+    table = _small(g, [(c, *v) for (c,), v in cuts.items()], "feature string, " + ", ".join(f"{n} double" for n in names))
+    gap = F.abs(F.col("fraud_mean") - F.col("normal_mean")).alias("mean_gap")
+    return found.join(table, "feature", "left").select("feature", "mean", "std", "normal_mean", "fraud_mean", gap, "missing_ratio", *names)
+
+
+def _small(g: GraphFrame, rows: list[tuple], kinds: str) -> DataFrame:
+    """A table of a few rows, at most one for each column and group."""
+    return F.broadcast(g.nodes.sparkSession.createDataFrame(rows, kinds))
 
 
 def missing_by_group(g: GraphFrame) -> DataFrame:
     rows = unpivoted(g.nodes.join(groups(g), "node_id"), g.schema.raw_columns, "group_name")
-    return rows.groupBy("group_name", "feature").agg(F.avg((F.col("value") == -1.0).cast("double")).alias("missing_ratio"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"))
+    found = rows.groupBy("group_name", "feature").agg(F.avg((F.col("value") == -1.0).cast("double")).alias("missing_ratio"), F.avg("value").alias("mean"))
+    medians = quantiles(rows, "value", [0.5], ["group_name", "feature"])
+    return found.join(_small(g, [(*k, v[0]) for k, v in medians.items()], "group_name string, feature string, median double"), ["group_name", "feature"], "left")
 
 
 def feature_corr(g: GraphFrame) -> DataFrame:
@@ -134,7 +145,7 @@ def time_window_profile(g: GraphFrame, columns: Sequence[str] | None = None) ->
 
 def value_windows(df: DataFrame, value: str, n: int) -> DataFrame:
     """(window_idx, start, end, rows) of equal depth: bounds are quantiles, so ties stay together; the last window is closed."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0]
+    cuts = quantiles(df, value, [i / n for i in range(n + 1)]).get(())
     if cuts is None:
         return df.sparkSession.createDataFrame([], "window_idx int, start double, end double, rows long")
     edges = sorted(set(cuts))
@@ -149,12 +160,9 @@ def value_windows(df: DataFrame, value: str, n: int) -> DataFrame:
 
 
 def cumulative_distribution(df: DataFrame, value: str) -> DataFrame:
-    """(value, cdf): distinct values and the share of rows up to each. Rows are counted by value before they are ordered."""
-    from pyspark.sql import Window
-
+    """(value, cdf): distinct values and the share of rows up to each. Rows are counted by value before they are ordered, in ranges."""
     counts = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("value", (F.sum("n").over(upto) / F.sum("n").over(_everything())).alias("cdf"))
+    return running(counts, "value", ["n"]).select("value", (F.col("upto_n") / F.greatest(F.lit(counts.agg(F.sum("n")).first()[0] or 0), F.lit(1))).alias("cdf"))
 
 
 def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -162,13 +170,13 @@ def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins:
 
     Values of `current` outside the reference's range aren't counted.
     """
-    cuts = reference.agg(*[F.percentile(c, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias(c) for c in columns], *[F.struct(F.min(c), F.max(c)).alias(f"_r_{c}") for c in columns]).first()
+    cuts = {c: v for (c,), v in quantiles(unpivoted(reference, columns), "value", [i / bins for i in range(bins + 1)], ["feature"]).items()}
     tagged = unpivoted(reference, columns).withColumn("side", F.lit("p")).unionByName(unpivoted(current, columns).withColumn("side", F.lit("q")))
     at, last = F.lit(None).cast("int"), {}
     for c in columns:
-        edges = sorted(set(cuts[c] or []))
-        edges = [edges[0] - 1e-6, *edges[1:-1], edges[-1] + 1e-6] if len(edges) > 2 else [cuts[f"_r_{c}"][0] - 1e-6, cuts[f"_r_{c}"][1] + 1e-6]
-        last[c] = len(edges) - 1
+        inner = sorted(set(cuts.get(c, [])))  # none for a column without a value: it has no index
+        edges = [inner[0] - 1e-6, *inner[1:-1], inner[-1] + 1e-6] if inner else []
+        last[c] = max(len(edges) - 1, 0)
         for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             inside = (F.col("value") >= a) & ((F.col("value") <= b) if i == last[c] - 1 else (F.col("value") < b))
             at = F.when((F.col("feature") == c) & inside, F.lit(i)).otherwise(at)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalar import risk_tier, sigmoid
 from ledgerloom.operators.graph import adjacency
+from ledgerloom.operators.ranks import quantiles
 from ledgerloom.operators.sampling import first
 
 # Names by which a column's role is known, in order of preference.
@@ -92,8 +93,7 @@ def fallback_score(nodes: DataFrame) -> DataFrame:
 
 def threshold(scores: DataFrame, quantile: float = 0.85, least: float = 0.5) -> float:
     """The score from which a node is suspicious: a quantile of all scores, at least one half."""
-    q = scores.agg(F.percentile("score", quantile)).first()[0]
-    return max(least, q if q is not None else least)
+    return max([least, *quantiles(scores, "score", [quantile]).get((), [])])
 
 
 def labelled_scores(scores: DataFrame) -> DataFrame:
