@@ -44,7 +44,7 @@ class GraphFrame:
         return replace(self, edges=edges, facts={})
 
 
-#: Registered data sets: label names, background labels and strongly related raw columns.
+# Fixed values. Registered data sets: label names, background labels and strongly related raw columns.
 DATASETS = {
     "xinye_dgraph": {"labels": {-100: "test_holdout", 0: "normal", 1: "fraud", 2: "background_2", 3: "background_3"}, "background": (2, 3), "strong_pairs": ((2, 3), (6, 8), (15, 16))},
     "ellipticpp_transactions": {"labels": {-100: "unknown", 0: "licit", 1: "illicit"}, "background": (), "strong_pairs": ()},

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions.scalar import safe_ratio
+from ledgerloom.operators import scales
 
 RECENT_WINDOWS = (3, 7, 14, 30)
 
@@ -49,12 +50,14 @@ def _dir(d: str) -> Column:
     return F.col("dir") == d
 
 
+@scales.columns(log="indegree outdegree total_degree")
 def degrees(g: GraphFrame) -> DataFrame:
     found = counted(adjacency(g.edges), {"indegree": _dir("in"), "outdegree": _dir("out")})
     total = F.col("indegree") + F.col("outdegree")
     return complete(g.nodes, found).select("node_id", "indegree", "outdegree", total.alias("total_degree"), safe_ratio("outdegree", "indegree").alias("out_over_in_plus1"), safe_ratio("indegree", "outdegree").alias("in_over_out_plus1"))
 
 
+@scales.columns(log="first_active last_active active_span")
 def activity(g: GraphFrame) -> DataFrame:
     """First and last day of any edge, and the span between; a node without edges begins after the last day and ends at 0."""
     found = adjacency(g.edges).groupBy("center").agg(F.min("day").alias("first_active"), F.max("day").alias("last_active"))
@@ -62,6 +65,7 @@ def activity(g: GraphFrame) -> DataFrame:
     return whole.withColumn("active_span", F.col("last_active") - F.col("first_active"))
 
 
+@scales.columns(log="{d}_type_{n}_count")
 def edge_type_counts(g: GraphFrame) -> DataFrame:
     wanted = {f"{d}_type_{t}_count": _dir(d) & (F.col("edge_type") == t) for t in range(1, g.schema.types + 1) for d in ("in", "out")}
     return complete(g.nodes, counted(adjacency(g.edges), wanted))
@@ -71,6 +75,7 @@ def _background(g: GraphFrame) -> Column:
     return F.coalesce(F.col("far_y").isin(*g.schema.background), F.lit(False)) if g.schema.background else F.lit(False)
 
 
+@scales.columns(log="bg_{e}_count", identity="touch_background")
 def background_touch(g: GraphFrame) -> DataFrame:
     """Edges to neighbours with a background label, their share, and whether there are any."""
     bg = _background(g)
@@ -88,12 +93,14 @@ def background_touch(g: GraphFrame) -> DataFrame:
     )
 
 
+@scales.columns(log="bg_{d}_type_{n}_count")
 def background_by_type(g: GraphFrame) -> DataFrame:
     bg = _background(g)
     wanted = {f"bg_{d}_type_{t}_count": _dir(d) & bg & (F.col("edge_type") == t) for t in range(1, g.schema.types + 1) for d in ("in", "out")}
     return complete(g.nodes, counted(labelled(g), wanted))
 
 
+@scales.columns(log="unique_{d} multi_{d}")
 def unique_multi_edges(g: GraphFrame) -> DataFrame:
     """Distinct partners by direction, edges beyond one for each, and the partners' share in the degree."""
     pairs = adjacency(g.edges).groupBy("center", "neighbor", "dir").agg(F.count(F.lit(1)).alias("n"))
@@ -111,6 +118,7 @@ def unique_multi_edges(g: GraphFrame) -> DataFrame:
     )
 
 
+@scales.columns(log="days_since_{d}_mean days_since_{d}_last")
 def edge_age(g: GraphFrame) -> DataFrame:
     """Days from the mean and the last edge to the last day of all; one more than that without edges."""
     end = g.max_day()
@@ -121,6 +129,7 @@ def edge_age(g: GraphFrame) -> DataFrame:
     return complete(g.nodes, found, float(end + 1))
 
 
+@scales.columns(log="{d}_last{n}")
 def recent_counts(g: GraphFrame, windows: tuple[int, ...] = RECENT_WINDOWS) -> DataFrame:
     """Edges of the last days, by direction, and their share in the degree."""
     late = lambda w: F.col("day") > g.max_day() - w
@@ -132,6 +141,7 @@ def recent_counts(g: GraphFrame, windows: tuple[int, ...] = RECENT_WINDOWS) -> D
     return found.select("node_id", *columns)
 
 
+@scales.columns(log="aux_label_{n}_{e}_count aux_label_{n}_{d}_last14")
 def aux_label_counts(g: GraphFrame) -> DataFrame:
     """For each background label: edges to neighbours that have it, in all and of the last 14 days."""
     late = F.col("day") > g.max_day() - 14

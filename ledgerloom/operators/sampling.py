@@ -78,10 +78,11 @@ def hybrid_fanout(g: GraphFrame, k: int, seed: int, *, recent_share: float = 0.5
     """A share of the fanout from the latest edges, the rest drawn from those before them."""
     n_recent = min(k, math.ceil(k * recent_share))
     rows = numbered(edges_seen(g, until)).withColumn("u", draw(seed, "center", "neighbor", "dir", "rel_id", "day", "copy"))
-    by = Window.partitionBy("center", "dir")
-    ranked = rows.withColumn("_late", F.row_number().over(by.orderBy(*_latest(), "copy")))
-    new = (F.col("_late") <= n_recent).cast("int")
-    return first(ranked.withColumn("_new", new), ["center", "dir"], [F.col("_new").desc(), F.col("u"), *_latest()], k).withColumn("part", F.when(F.col("_new") == 1, "recent").otherwise("old")).drop("_late", "_new")
+    edge = ["center", "neighbor", "dir", "rel_id", "day", "copy"]
+    new = first(rows, ["center", "dir"], [*_latest(), F.col("copy")], n_recent).withColumn("part", F.lit("recent"))
+    old = first(rows.join(new.select(*edge), edge, "left_anti"), ["center", "dir"], [F.col("u"), *_latest()], k).withColumn("part", F.lit("old"))
+    is_old = (F.col("part") == "old").cast("int")  # of what is left, at most n_recent + k edges of a node and direction
+    return first(new.drop("rank").unionByName(old.drop("rank")), ["center", "dir"], [is_old, F.col("u"), *_latest()], k).select(*rows.columns, "rank", "part")
 
 
 def consistency(rows: DataFrame, similarity: str, temperature: float = 1.0) -> DataFrame:

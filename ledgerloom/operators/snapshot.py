@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions.scalar import missing, safe_ratio
+from ledgerloom.operators import scales
 from ledgerloom.operators.graph import _background, _dir, activity, adjacency, complete, counted, labelled
 from ledgerloom.operators.windows import node_time_bucket
 
@@ -29,6 +30,7 @@ def _both(p: str) -> Column:
     return F.col(f"{p}_in_count") + F.col(f"{p}_out_count")
 
 
+@scales.columns(log="snap_{e}_count snap_bg_{e}_count snapshot_day snapshot_age")
 def snapshot_block(g: GraphFrame) -> DataFrame:
     bg = _background(g)
     wanted = {f"snap_{d}_count": _dir(d) for d in ("in", "out")} | {f"snap_bg_{d}_count": _dir(d) & bg for d in ("in", "out")}
@@ -47,6 +49,7 @@ def snapshot_block(g: GraphFrame) -> DataFrame:
     )
 
 
+@scales.columns(log="recent_{n}_{e}_count recent_{n}_bg_{e}_count")
 def snapshot_recent(g: GraphFrame, windows: tuple[int, ...] = SNAPSHOT_RECENT) -> DataFrame:
     """The last days before the snapshot, and their share in it."""
     bg, wanted = _background(g), {"snap_in_count": _dir("in"), "snap_out_count": _dir("out")}
@@ -61,12 +64,14 @@ def snapshot_recent(g: GraphFrame, windows: tuple[int, ...] = SNAPSHOT_RECENT) -
     return found.select("node_id", *columns)
 
 
+@scales.columns(log="recent_{n}_{d}_type_{n}_count")
 def snapshot_relation_recent(g: GraphFrame, window: int = SNAPSHOT_TYPES) -> DataFrame:
     late = F.col("day") > F.col("window_end") - window
     wanted = {f"recent_{window}_{d}_type_{t}_count": _dir(d) & late & (F.col("edge_type") == t) for t in range(1, g.schema.types + 1) for d in ("in", "out")}
     return complete(g.nodes, counted(_at_snapshot(g, adjacency(g.edges)), wanted))
 
 
+@scales.columns(log="start_{n}_{e}_count start_{n}_bg_{e}_count start_{n}_{d}_type_{n}_count")
 def early_activity(g: GraphFrame, windows: tuple[int, ...] = EARLY, types_window: int = 30) -> DataFrame:
     """Edges of a node's first days, by direction, background label and type."""
     begins = activity(g).select(F.col("node_id").alias("center"), "first_active")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions.scalar import col, total
+from ledgerloom.operators import scales
 from ledgerloom.operators.graph import _dir, activity, adjacency, background_touch, complete, counted, degrees, edge_age, recent_counts
 
 BUCKET_DAYS = 30
@@ -68,6 +69,7 @@ def node_time_bucket(g: GraphFrame, n: int = 4) -> DataFrame:
     return bucket.withColumn("window_end", end)
 
 
+@scales.columns(log="window_{n}_{e}_count")
 def window_counts(g: GraphFrame, n: int = 4) -> DataFrame:
     windows = edge_time_windows(g.edges, n)
     wanted = {f"window_{w.index}_{d}_count": _dir(d) & F.col("day").between(w.start, w.end) for w in windows for d in ("in", "out")}
@@ -100,12 +102,14 @@ def z_scores(rows: DataFrame, columns: Mapping[str, tuple[Column | str, Column |
     return joined.select(*keep, *[F.coalesce(z(i), F.lit(0.0)).alias(n) for i, n in enumerate(marks)])
 
 
+@scales.columns(identity=f"tb{BUCKET_DAYS}_{{*}}")
 def cohort_zscore(g: GraphFrame) -> DataFrame:
     """log1p degrees normalised within the cohort."""
     rows = degrees(g).join(with_cohort(g), "node_id")
     return z_scores(rows, {f"tb{BUCKET_DAYS}_log_{n}_z": (F.log1p(n), None) for n in ("indegree", "outdegree", "total_degree")})
 
 
+@scales.columns(identity=f"tb{BUCKET_DAYS}_{{*}}")
 def missing_zscore(g: GraphFrame) -> DataFrame:
     """Raw values normalised among the observed of their cohort, and missing marks scaled by the cohort's missing rate."""
     rows = g.nodes.join(with_cohort(g), "node_id")
@@ -118,6 +122,7 @@ def missing_zscore(g: GraphFrame) -> DataFrame:
     return z.join(m, "node_id")
 
 
+@scales.columns(identity=f"tb{BUCKET_DAYS}_{{*}}")
 def bucket_norm(g: GraphFrame) -> DataFrame:
     """missing_zscore, and the missing count, log1p degrees, background shares and log1p background total normalised within the cohort."""
     touch = background_touch(g).select("node_id", "bg_in_ratio", "bg_out_ratio", "bg_total_ratio", F.log1p("bg_total_count").alias("log_bg_total"))
