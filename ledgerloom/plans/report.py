@@ -46,6 +46,29 @@ def trailing_mean(rows: DataFrame, metric: str, k: int, run: Sequence[str] = RUN
     return rows.withColumn("trust", F.avg(metric).over(before))
 
 
+# The weight of each quality in the trust score, and the loss or margin that is worth nothing or everything.
+TRUST_WEIGHTS = {"available": 0.18, "classification": 0.30, "margin": 0.14, "consistency": 0.10, "stability": 0.28}
+TRUST_SCALES = {"classification": 0.35, "margin": 0.45, "consistency": 0.25}
+
+
+def trust_score(rows: DataFrame, k: int = 3, run: Sequence[str] = RUN) -> DataFrame:
+    """rows with trust, 0 to 1, from the means of the k epochs before; 1 where there are fewer than two.
+
+    rows: (run, epoch, available, classification, margin, consistency, stability), classification and consistency
+    being losses. A loss nobody recorded counts as none, a margin, share or stability as 0.
+    """
+    before = Window.partitionBy(*run).orderBy("epoch").rowsBetween(-k, -1)
+    mean = lambda c: F.avg(c).over(before)
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    parts = {c: F.coalesce(mean(c), F.lit(0.0)) for c in ("available", "stability")}
+    parts["margin"] = F.coalesce(unit(mean("margin") / TRUST_SCALES["margin"]), F.lit(0.0))
+    parts |= {c: F.coalesce(unit(1.0 - mean(c) / TRUST_SCALES[c]), F.lit(1.0)) for c in ("classification", "consistency")}
+    score = F.lit(0.0)
+    for name, weight in TRUST_WEIGHTS.items():
+        score = score + weight * parts[name]
+    return rows.withColumn("trust", F.when(F.count(F.lit(1)).over(before) < 2, 1.0).otherwise(unit(score)))
+
+
 def result_pivot(best: DataFrame, metric: str, datasets: Sequence[str]) -> DataFrame:
     """A row for each method, a column for each data set."""
     return best.groupBy("method").pivot("dataset", list(datasets)).agg(F.first(metric))

@@ -19,9 +19,14 @@ from ledgerloom.sources.shared import shared_folder
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+def raw_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
+    """A stream of Parquet files as they are."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
 def event_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """A stream of Parquet files; timestamps without a zone are read as the session's zone, which watermarks need."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    raw = raw_stream(spark, folder, schema, files_per_batch)
     return raw.select(F.col("user_id").alias("node_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
 
 
@@ -105,6 +110,35 @@ class Prototype(StatefulProcessor):
         pass
 
 
+class Queue(StatefulProcessor):
+    """The last `size` values of a key, oldest first: a row's value joins at the end, by its order within a batch."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("queue", "v array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new: list[tuple] = []
+        for part in rows:
+            new = sorted([*new, *zip(part["at"], part["value"], strict=True)])[-self.size :]
+        held = [*(self.state.get()[0] if self.state.exists() else []), *(v for _, v in new)][-self.size :]
+        self.state.update((held,))
+        yield pd.DataFrame({"node_id": [key[0]], "values": [[float(v) for v in held]]})
+
+    def close(self) -> None:
+        pass
+
+
+def last_values(rows: DataFrame, size: int) -> DataFrame:
+    """(node_id, values) of a stream of (node_id, at, value): each key's last values in order of arrival, a row for each batch in which it has any.
+
+    Batches follow one another; within one, rows go by `at`, then value.
+    """
+    return rows.groupBy("node_id").transformWithStateInPandas(Queue(size), outputStructType="node_id long, values array<double>", outputMode="Update", timeMode="None")
+
+
 def prototypes(vectors: DataFrame, momentum: float = 0.9) -> DataFrame:
     """(label, n, prototype) of a stream of (label, v), a row for each class and batch."""
     return vectors.groupBy("label").transformWithStateInPandas(Prototype(momentum), outputStructType="label int, n long, prototype array<double>", outputMode="Update", timeMode="None")
