@@ -136,3 +136,17 @@ def queued(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("stream_last_values", queued)
 add("stream_last_values", f"WITH r AS (SELECT user_id::BIGINT AS node_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, value DESC) AS back FROM events), k AS (SELECT * FROM r WHERE back <= 4) SELECT node_id, (row_number() OVER (PARTITION BY node_id ORDER BY back DESC) - 1)::INTEGER AS place, {r6('value', 'value')} FROM k")
+
+
+# Normalisation, fitted and applied, in SQL: the columns' values as prepared, their names and modes.
+_NAMES = ["x0", "x1", "x2", "x0_is_neg1", "missing_count", "indegree", "outdegree", "out_over_in_plus1"]
+_MODES = ["raw", "raw", "raw", "identity", "log", "log", "log", "zscore"]
+_VALUES = [*(f"CASE WHEN x{i} = -1 THEN a{i} ELSE x{i} END" for i in range(3)), "CASE WHEN x0 = -1 THEN 1 ELSE 0 END", "ln(1 + mc)", "ln(1 + i)", "ln(1 + o)", "o / (i + 1)"]
+_SCALES = f"""{wider_queries._PARTS}, ndeg AS (SELECT center, count(*) FILTER (dir = 'in')::DOUBLE AS i, count(*) FILTER (dir = 'out')::DOUBLE AS o FROM adj GROUP BY 1),
+nf AS (SELECT n.node_id, x0, x1, x2, {' + '.join(f'CASE WHEN {c} = -1 THEN 1.0 ELSE 0.0 END' for c in RAW)} AS mc, coalesce(i, 0) AS i, coalesce(o, 0) AS o, p.part = 'train' AS fitted FROM nodes n JOIN part p ON p.node_id = n.node_id LEFT JOIN ndeg ON ndeg.center = n.node_id),
+nq AS (SELECT {', '.join(f'coalesce(median({c}) FILTER ({c} <> -1 AND fitted), 0) AS a{i}' for i, c in enumerate(RAW))} FROM nf),
+nl AS (SELECT node_id, fitted, unnest({_NAMES}) AS name, unnest({_MODES}) AS mode, unnest([a0, a1, a2, 0, 0, 0, 0, 0]) AS median, unnest([{', '.join(_VALUES)}]::DOUBLE[]) AS v FROM nf, nq),
+ns AS (SELECT name, mode, median, CASE mode WHEN 'identity' THEN 0 ELSE avg(v) END AS mean, CASE mode WHEN 'identity' THEN 1 ELSE greatest(stddev_pop(v), 1e-6) END AS std FROM nl WHERE fitted GROUP BY name, mode, median)"""
+add("normalizer_fit", f"{_SCALES} SELECT name, mode, {r6('median', 'median')}, {r6('mean', 'mean')}, {r6('std', 'std')} FROM ns")
+_SCALED = lambda n: f"max(CASE WHEN nl.name = '{n}' THEN (v - mean) / std END)"
+add("normalizer_apply", f"{_SCALES} SELECT node_id, {', '.join(r6(_SCALED(n), n) for n in _NAMES)} FROM nl JOIN ns ON ns.name = nl.name GROUP BY node_id")
