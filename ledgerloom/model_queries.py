@@ -150,3 +150,6 @@ ns AS (SELECT name, mode, median, CASE mode WHEN 'identity' THEN 0 ELSE avg(v) E
 add("normalizer_fit", f"{_SCALES} SELECT name, mode, {r6('median', 'median')}, {r6('mean', 'mean')}, {r6('std', 'std')} FROM ns")
 _SCALED = lambda n: f"max(CASE WHEN nl.name = '{n}' THEN (v - mean) / std END)"
 add("normalizer_apply", f"{_SCALES} SELECT node_id, {', '.join(r6(_SCALED(n), n) for n in _NAMES)} FROM nl JOIN ns ON ns.name = nl.name GROUP BY node_id")
+
+# How many predictors an affine fill takes, chosen on the nodes that became active last. The search has no SQL; a test wants the right number.
+on_orders("affine_impute_chosen", lambda g: impute.affine_fill(g.nodes.join(graph.degrees(g), "node_id").join(graph.activity(g), "node_id"), "x0", ["x1", "x2", "outdegree", "indegree"], step="first_active"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame, GraphSchema
+from ledgerloom.operators import impute
 from ledgerloom.plans import blocks, models, report
 from ledgerloom.streaming import windows as streams
 
@@ -85,3 +86,14 @@ def test_a_queue_keeps_the_last_values_over_batches(spark, tmp_path):
     stream = streams.last_values(streams.raw_stream(spark, f"{tmp_path}/in/*", kinds), 3)
     got = {r["node_id"]: list(r["values"]) for r in streams.latest(streams.run_to_end(stream, "update"), "node_id").collect()}
     assert got == {1: [0.0, 10.0, 20.0], 2: [11.0, 20.0, 21.0]}
+
+
+def test_affine_fill_takes_as_many_predictors_as_the_last_step_wants(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (rng.uniform(1, 9, 200) for _ in range(3))
+    rows = [(i, i % 4, float(2 * x + y) if i % 5 else -1.0, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(zip(a, b, c, strict=True))]
+    nodes = spark.createDataFrame(rows, "node_id long, step int, t double, a double, b double, c double")
+    got = {r["node_id"]: r for r in impute.affine_fill(nodes, "t", ["a", "b", "c"], sizes=(1, 2, 3), step="step").collect()}
+    assert all(got[i]["t"] == pytest.approx(2 * a[i] + b[i]) for i in range(200)) and sum(r["filled"] for r in got.values()) == 40
+    rough = {r["node_id"]: r["t"] for r in impute.affine_fill(nodes, "t", ["a", "b", "c"], sizes=(1,), step="step").collect()}
+    assert any(abs(rough[i] - 2 * a[i] - b[i]) > 0.1 for i in range(0, 200, 5))
