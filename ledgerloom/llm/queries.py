@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, bsi, chat, langid, line_dedup, mixing, permutation, ring, simhash, warc
+from ledgerloom.llm import bpe, bsi, chat, hard_negatives, langid, line_dedup, mixing, permutation, ring, simhash, warc
 from ledgerloom.llm._shared import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.flipped(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_warc, op3_mixing, op4_simhash, op5_language_id, op6_top_k, op7_bpe, op8_line_dedup, op9_ann, op10_sharding)
+    f.__name__: f
+    for f in (op1_chat_formatting, op2_warc, op3_mixing, op4_simhash, op5_language_id, op6_top_k, op7_bpe, op8_line_dedup, op9_ann, op10_sharding, op11_hard_negatives)
 }
 
 #: The letters of base32 (RFC 4648).
@@ -93,4 +98,11 @@ n AS (SELECT host, count(*) AS total FROM t GROUP BY host),
 b AS (SELECT k.host, list(line) AS bad FROM (SELECT host, line, count(*) AS c FROM l GROUP BY ALL) k JOIN n ON n.host = k.host WHERE c >= 2 AND c > 0.2::DOUBLE * total GROUP BY k.host),
 r AS (SELECT page_id, t.host, lines, {_LEFT} AS kept FROM t LEFT JOIN b ON b.host = t.host)
 SELECT page_id, host, coalesce(len(lines) - len(kept), 0)::INTEGER AS lines_dropped, array_to_string(kept, chr(10)) AS text FROM r""",
+    "op11_hard_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, e.vec_id, e.label = q.label AS same, list_dot_product(q.v, e.v)::BIGINT AS score FROM e q JOIN e ON e.vec_id <> q.vec_id AND len(e.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, (row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id))::INTEGER AS positive_rank FROM s WHERE same QUALIFY positive_rank <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score, positive_rank
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) <= 5""",
 }
