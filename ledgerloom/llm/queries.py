@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, bsi, chat, hard_negatives, langid, line_dedup, mixing, permutation, ring, simhash, warc
+from ledgerloom.llm import bpe, bsi, chat, filter_audit, hard_negatives, langid, line_dedup, mixing, permutation, ring, simhash, warc
 from ledgerloom.llm._shared import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +68,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.flipped(_table(spark, sf_dir, "embeddings")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_warc, op3_mixing, op4_simhash, op5_language_id, op6_top_k, op7_bpe, op8_line_dedup, op9_ann, op10_sharding, op11_hard_negatives)
+    for f in (op1_chat_formatting, op2_warc, op3_mixing, op4_simhash, op5_language_id, op6_top_k, op7_bpe, op8_line_dedup, op9_ann, op10_sharding, op11_hard_negatives, op12_filter_audit)
 }
 
 #: The letters of base32 (RFC 4648).
@@ -105,4 +109,16 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, (row_num
 SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score, positive_rank
 FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) <= 5""",
+    "op12_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+m AS (SELECT d.part, (len(w) < 50)::INTEGER AS fa, (100 * len(list_distinct(w)) < 65 * len(w))::INTEGER AS fb, (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INTEGER AS fc,
+  regexp_matches(t, '[#$%&*|]')::INTEGER AS fd, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS fe, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+  FROM d LEFT JOIN (SELECT doc_id AS id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id) l ON l.id = d.doc_id),
+c AS (SELECT part, [fa, fb, fc, fd, fe] AS f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+l AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT part, o, i AS step, o[i] AS f_at, n, good, toxic, f[o[i]] = 1 AS fails, list_sum(f) AS n_fails, coalesce(list_sum(list_transform(o[1:i - 1], lambda x: f[x])), 0) > 0 AS earlier FROM c, o, l),
+r AS (SELECT part, o, step, f_at, sum(CASE WHEN NOT earlier AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND earlier THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f_at))::BIGINT AS shapley FROM r""",
 }
