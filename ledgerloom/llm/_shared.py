@@ -50,6 +50,25 @@ def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))).checkpoint()
 
 
+def written(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """(df, computed once and kept as a table in the shared folder, the table's path).
+
+    As durable, but the plan that reads it knows nothing of the one that made it. A checkpoint keeps its plan's estimated
+    size and constraints; in loops with joins both grow with each round (an estimate is a product of sizes) until planning takes longer than the work.
+    """
+    path = shared_path(df.sparkSession, name)
+    (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

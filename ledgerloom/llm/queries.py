@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, bsi, chat, filter_audit, hard_negatives, langid, line_dedup, mixing, permutation, ring, simhash, warc
+from ledgerloom.llm import bpe, bsi, chat, chosen_path, filter_audit, hard_negatives, langid, line_dedup, mixing, permutation, ring, simhash, warc
 from ledgerloom.llm._shared import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +72,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_warc, op3_mixing, op4_simhash, op5_language_id, op6_top_k, op7_bpe, op8_line_dedup, op9_ann, op10_sharding, op11_hard_negatives, op12_filter_audit)
+    for f in (op1_chat_formatting, op2_warc, op3_mixing, op4_simhash, op5_language_id, op6_top_k, op7_bpe, op8_line_dedup, op9_ann, op10_sharding, op11_hard_negatives, op12_filter_audit, op13_minhash)
 }
 
 #: The letters of base32 (RFC 4648).

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._shared import durable, short_batches, small
+from ledgerloom.llm._shared import discard, durable, short_batches, small, written
 
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
@@ -247,18 +247,21 @@ def components(edges: DataFrame, nodes: int | None = None, rounds: int = 40) ->
     with a minimum, so a hub is combined before it is shuffled; it is kept in the shared folder.
     nodes: how many there are at most, if known.
     """
-    now = durable(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).filter("hi <> lo").distinct(), nodes and 4 * nodes)
+    spark = edges.sparkSession
+    now, path = written(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).filter("hi <> lo").distinct(), "stars", nodes and 4 * nodes)
     n, before = now.count(), None
     for _ in range(rounds):
         # Large star: every larger neighbour of a node to the node's smallest neighbour or itself.
         both = now.select(F.col("hi").alias("node"), F.col("lo").alias("near")).unionByName(now.select(F.col("lo").alias("node"), F.col("hi").alias("near")))
-        least = durable(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("m")), 2 * n)
+        least, least_path = written(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("m")), "least", 2 * n)
         large = both.filter("near > node").join(least, "node").select(F.col("near").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: a node and its smaller neighbours to the smallest of them.
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pairs = large.join(low, "hi")
         star = pairs.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
-        now = durable(star, 2 * n)
+        old = (path, least_path)
+        now, path = written(star, "stars", 2 * n)
+        discard(spark, *old)
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
