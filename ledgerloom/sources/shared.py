@@ -7,13 +7,27 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; only where that is unset, as in local tests, a temporary one."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A new path in the folder that spark.checkpoint.dir names.
+
+    Only where that is unset and Spark runs in one process, as in tests, a temporary folder takes its place; on a
+    cluster other machines wouldn't see it, so an error is raised.
+    """
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if top is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, top, ignore_errors=True)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept as a table in the shared folder."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
