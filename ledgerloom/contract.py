@@ -27,12 +27,16 @@ class GraphSchema:
 
 @dataclass(frozen=True)
 class GraphFrame:
-    """nodes (node_id long, x0, x1, ... double with -1 for missing, y int); edges (src, dst long, edge_type, day int), a bag."""
+    """nodes (node_id long, x0, x1, ... double with -1 for missing, y int); edges (src, dst long, edge_type, day int), a bag.
+
+    adjacency: each edge from both of its ends, with the far end's label (center, neighbor, dir, edge_type, day, far_y), where it is stored.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     schema: GraphSchema
     facts: dict = field(default_factory=dict, compare=False)
+    adjacency: DataFrame | None = None
 
     def max_day(self) -> int:
         """The last day of any edge, 0 without edges; computed once."""
@@ -41,15 +45,7 @@ class GraphFrame:
         return self.facts["max_day"]
 
     def with_edges(self, edges: DataFrame) -> GraphFrame:
-        return replace(self, edges=edges, facts={})
-
-
-# Fixed values. Registered data sets: label names, background labels and strongly related raw columns.
-DATASETS = {
-    "xinye_dgraph": {"labels": {-100: "test_holdout", 0: "normal", 1: "fraud", 2: "background_2", 3: "background_3"}, "background": (2, 3), "strong_pairs": ((2, 3), (6, 8), (15, 16))},
-    "ellipticpp_transactions": {"labels": {-100: "unknown", 0: "licit", 1: "illicit"}, "background": (), "strong_pairs": ()},
-    "elliptic_transactions": {"labels": {-100: "unknown", 0: "licit", 1: "illicit"}, "background": (), "strong_pairs": ()},
-}
+        return replace(self, edges=edges, facts={}, adjacency=None)
 
 
 def violations(g: GraphFrame, train: DataFrame | None = None, test: DataFrame | None = None) -> DataFrame:

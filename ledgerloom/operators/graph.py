@@ -27,10 +27,17 @@ def adjacency(edges: DataFrame, *extra: str) -> DataFrame:
     return edges.select(both, *rest).select("_seen.center", "_seen.neighbor", "_seen.dir", *rest)
 
 
+def incident(g: GraphFrame) -> DataFrame:
+    """The adjacency of a graph's edges, as it is stored if it is."""
+    return adjacency(g.edges) if g.adjacency is None else g.adjacency.select("center", "neighbor", "dir", "edge_type", "day")
+
+
 def labelled(g: GraphFrame) -> DataFrame:
     """The adjacency with the label of the far end, null if it isn't a node."""
+    if g.adjacency is not None:
+        return g.adjacency
     far = g.nodes.select(F.col("node_id").alias("neighbor"), F.col("y").alias("far_y"))
-    return adjacency(g.edges).join(far, "neighbor", "left")
+    return incident(g).join(far, "neighbor", "left")
 
 
 def complete(nodes: DataFrame, found: DataFrame, defaults: Mapping[str, Column | float] | float = 0.0, key: str = "center") -> DataFrame:
@@ -52,7 +59,7 @@ def _dir(d: str) -> Column:
 
 @scales.columns(log="indegree outdegree total_degree")
 def degrees(g: GraphFrame) -> DataFrame:
-    found = counted(adjacency(g.edges), {"indegree": _dir("in"), "outdegree": _dir("out")})
+    found = counted(incident(g), {"indegree": _dir("in"), "outdegree": _dir("out")})
     total = F.col("indegree") + F.col("outdegree")
     return complete(g.nodes, found).select("node_id", "indegree", "outdegree", total.alias("total_degree"), safe_ratio("outdegree", "indegree").alias("out_over_in_plus1"), safe_ratio("indegree", "outdegree").alias("in_over_out_plus1"))
 
@@ -60,7 +67,7 @@ def degrees(g: GraphFrame) -> DataFrame:
 @scales.columns(log="first_active last_active active_span")
 def activity(g: GraphFrame) -> DataFrame:
     """First and last day of any edge, and the span between; a node without edges begins after the last day and ends at 0."""
-    found = adjacency(g.edges).groupBy("center").agg(F.min("day").alias("first_active"), F.max("day").alias("last_active"))
+    found = incident(g).groupBy("center").agg(F.min("day").alias("first_active"), F.max("day").alias("last_active"))
     whole = complete(g.nodes, found, {"first_active": F.lit(g.max_day() + 1), "last_active": F.lit(0)})
     return whole.withColumn("active_span", F.col("last_active") - F.col("first_active"))
 
@@ -68,7 +75,7 @@ def activity(g: GraphFrame) -> DataFrame:
 @scales.columns(log="{d}_type_{n}_count")
 def edge_type_counts(g: GraphFrame) -> DataFrame:
     wanted = {f"{d}_type_{t}_count": _dir(d) & (F.col("edge_type") == t) for t in range(1, g.schema.types + 1) for d in ("in", "out")}
-    return complete(g.nodes, counted(adjacency(g.edges), wanted))
+    return complete(g.nodes, counted(incident(g), wanted))
 
 
 def _background(g: GraphFrame) -> Column:
@@ -103,7 +110,7 @@ def background_by_type(g: GraphFrame) -> DataFrame:
 @scales.columns(log="unique_{d} multi_{d}")
 def unique_multi_edges(g: GraphFrame) -> DataFrame:
     """Distinct partners by direction, edges beyond one for each, and the partners' share in the degree."""
-    pairs = adjacency(g.edges).groupBy("center", "neighbor", "dir").agg(F.count(F.lit(1)).alias("n"))
+    pairs = incident(g).groupBy("center", "neighbor", "dir").agg(F.count(F.lit(1)).alias("n"))
     sums = {}
     for d in ("out", "in"):
         sums[f"unique_{d}"] = F.sum(_dir(d).cast("double"))
@@ -123,7 +130,7 @@ def edge_age(g: GraphFrame) -> DataFrame:
     """Days from the mean and the last edge to the last day of all; one more than that without edges."""
     end = g.max_day()
     day = lambda d: F.when(_dir(d), F.col("day"))
-    found = adjacency(g.edges).groupBy("center").agg(
+    found = incident(g).groupBy("center").agg(
         *[(F.lit(float(end)) - F.avg(day(d))).alias(f"days_since_{d}_mean") for d in ("out", "in")], *[(F.lit(float(end)) - F.max(day(d))).alias(f"days_since_{d}_last") for d in ("out", "in")]
     )
     return complete(g.nodes, found, float(end + 1))
@@ -134,7 +141,7 @@ def recent_counts(g: GraphFrame, windows: tuple[int, ...] = RECENT_WINDOWS) -> D
     """Edges of the last days, by direction, and their share in the degree."""
     late = lambda w: F.col("day") > g.max_day() - w
     wanted = {f"{d}_last{w}": _dir(d) & late(w) for w in windows for d in ("out", "in")} | {"_out": _dir("out"), "_in": _dir("in")}
-    found = complete(g.nodes, counted(adjacency(g.edges), wanted))
+    found = complete(g.nodes, counted(incident(g), wanted))
     columns = []
     for w in windows:
         columns += [F.col(f"{d}_last{w}") for d in ("out", "in")] + [safe_ratio(f"{d}_last{w}", f"_{d}").alias(f"{d}_last{w}_ratio_v2") for d in ("out", "in")]

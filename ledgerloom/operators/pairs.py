@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions.scalar import dot, norm
-from ledgerloom.operators.graph import _dir, adjacency, complete, counted
+from ledgerloom.operators.graph import _dir, adjacency, complete, counted, incident
 from ledgerloom.operators.windows import DIRECTIONS, bursts
 
 CONCENTRATION_WINDOWS = (7, 30, 90)
@@ -24,7 +24,7 @@ def partner_concentration(g: GraphFrame, windows: tuple[int, ...] = CONCENTRATIO
     are among these.
     """
     end = g.max_day()
-    adj = adjacency(g.edges).filter(F.col("day") > end - max(windows))
+    adj = incident(g).filter(F.col("day") > end - max(windows))
     n = {(d, w): F.count_if((_dir(d) if d != "total" else F.lit(True)) & (F.col("day") > end - w)).cast("double").alias(f"{d}_{w}") for w in windows for d in DIRECTIONS}
     pairs = adj.groupBy("center", "neighbor").agg(*n.values())
     sums = []
@@ -63,7 +63,7 @@ def motif_lite(g: GraphFrame, days: int = MOTIF_DAYS, burst_days: int = BURST_DA
     mutual = both.groupBy(F.col("src").alias("center")).agg(F.count(F.lit(1)).cast("double").alias(f"{p}_recip_out_unique"))
     # The reverse of a reciprocal pair is one as well, so a node's two counts are the same.
     pairs = adjacency(recent).groupBy("center", "neighbor", "dir").agg(F.count(F.lit(1)).alias("n"))
-    degree = counted(adjacency(g.edges), {"_degree": F.lit(True)}).withColumnRenamed("center", "neighbor")
+    degree = counted(incident(g), {"_degree": F.lit(True)}).withColumnRenamed("center", "neighbor")
     seen = pairs.join(degree, "neighbor")
     sums = []
     for d in ("out", "in"):

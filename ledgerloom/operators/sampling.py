@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import FRAUD, NORMAL, GraphFrame
-from ledgerloom.operators.graph import adjacency
+from ledgerloom.operators.graph import incident
 from ledgerloom.operators.weights import relation_id
 
 
@@ -31,7 +31,7 @@ def first(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, r
 
 def edges_seen(g: GraphFrame, until: int | None = None) -> DataFrame:
     """(center, neighbor, dir, rel_id, day), up to a day."""
-    adj = adjacency(g.edges).withColumn("rel_id", relation_id(g.schema.types).cast("int"))
+    adj = incident(g).withColumn("rel_id", relation_id(g.schema.types).cast("int"))
     rows = adj if until is None else adj.filter(F.col("day") <= until)
     return rows.select("center", "neighbor", "dir", "rel_id", "day")
 

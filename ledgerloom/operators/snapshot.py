@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions.scalar import missing, safe_ratio
 from ledgerloom.operators import scales
-from ledgerloom.operators.graph import _background, _dir, activity, adjacency, complete, counted, labelled
+from ledgerloom.operators.graph import _background, _dir, activity, complete, counted, incident, labelled
 from ledgerloom.operators.windows import node_time_bucket
 
 SNAPSHOT_RECENT = (14, 60)
@@ -68,7 +68,7 @@ def snapshot_recent(g: GraphFrame, windows: tuple[int, ...] = SNAPSHOT_RECENT) -
 def snapshot_relation_recent(g: GraphFrame, window: int = SNAPSHOT_TYPES) -> DataFrame:
     late = F.col("day") > F.col("window_end") - window
     wanted = {f"recent_{window}_{d}_type_{t}_count": _dir(d) & late & (F.col("edge_type") == t) for t in range(1, g.schema.types + 1) for d in ("in", "out")}
-    return complete(g.nodes, counted(_at_snapshot(g, adjacency(g.edges)), wanted))
+    return complete(g.nodes, counted(_at_snapshot(g, incident(g)), wanted))
 
 
 @scales.columns(log="start_{n}_{e}_count start_{n}_bg_{e}_count start_{n}_{d}_type_{n}_count")
@@ -97,8 +97,8 @@ def _profile(g: GraphFrame, adj: DataFrame, prefix: str) -> DataFrame:
 
 def neighbor_profile(g: GraphFrame) -> DataFrame:
     """Mean, maximum and missing share of each raw column over the neighbours, sentinels included; 0 without neighbours."""
-    return _profile(g, adjacency(g.edges), "")
+    return _profile(g, incident(g), "")
 
 
 def snapshot_neighbor_profile(g: GraphFrame) -> DataFrame:
-    return _profile(g, _at_snapshot(g, adjacency(g.edges)), "snap_")
+    return _profile(g, _at_snapshot(g, incident(g)), "snap_")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.contract import FRAUD, NORMAL, GraphFrame
 from ledgerloom.functions.scalar import col, half_life_weight, total
-from ledgerloom.operators.graph import adjacency
+from ledgerloom.operators.graph import incident
 
 
 def relation_id(types: int) -> Column:
@@ -25,7 +25,7 @@ def relation_risk_weight(g: GraphFrame, train: DataFrame) -> DataFrame:
     """
     known = g.nodes.select("node_id", "y").join(train, "node_id", "left_semi").select(F.col("node_id").alias("center"), "y")
     rel = relation_id(g.schema.types).cast("int").alias("rel_id")
-    seen = adjacency(g.edges).join(known, "center").groupBy(rel).agg(F.count_if(F.col("y") == FRAUD).alias("p"), F.count_if(F.col("y") == NORMAL).alias("n"))
+    seen = incident(g).join(known, "center").groupBy(rel).agg(F.count_if(F.col("y") == FRAUD).alias("p"), F.count_if(F.col("y") == NORMAL).alias("n"))
     every = g.nodes.sparkSession.range(2 * g.schema.types).select(F.col("id").cast("int").alias("rel_id"))  # a row for each relation
     counts = every.join(seen, "rel_id", "left").select("rel_id", (F.coalesce("p", F.lit(0)) + 1.0).alias("positives"), (F.coalesce("n", F.lit(0)) + 1.0).alias("negatives"))
     odds = F.ln(F.col("positives") / F.sum("positives").over(_all())) - F.ln(F.col("negatives") / F.sum("negatives").over(_all()))

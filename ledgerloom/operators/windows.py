@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions.scalar import col, total
 from ledgerloom.operators import scales
-from ledgerloom.operators.graph import _dir, activity, adjacency, background_touch, complete, counted, degrees, edge_age, recent_counts
+from ledgerloom.operators.graph import _dir, activity, background_touch, complete, counted, degrees, edge_age, incident, recent_counts
 
 BUCKET_DAYS = 30
 ADAPTIVE_WINDOWS = (3, 7, 14, 30, 60, 90)
@@ -73,7 +73,7 @@ def node_time_bucket(g: GraphFrame, n: int = 4) -> DataFrame:
 def window_counts(g: GraphFrame, n: int = 4) -> DataFrame:
     windows = edge_time_windows(g.edges, n)
     wanted = {f"window_{w.index}_{d}_count": _dir(d) & F.col("day").between(w.start, w.end) for w in windows for d in ("in", "out")}
-    found = complete(g.nodes, counted(adjacency(g.edges), wanted))
+    found = complete(g.nodes, counted(incident(g), wanted))
     total = {w.index: F.col(f"window_{w.index}_in_count") + F.col(f"window_{w.index}_out_count") for w in windows}
     half = max(n // 2, 1)
     early, late = (sum((total[i] for i in part), F.lit(0.0)) for part in (range(1, half + 1), range(half + 1, n + 1)))
@@ -142,7 +142,7 @@ def time_detrend(g: GraphFrame) -> DataFrame:
 def trailing_counts(g: GraphFrame, windows: tuple[int, ...]) -> DataFrame:
     """{out,in,total}_c{w}: edges of the last w days; {out,in,total}_degree: all."""
     wanted = {f"{d}_c{w}": _dir(d) & (F.col("day") > g.max_day() - w) for w in windows for d in ("out", "in")} | {"out_degree": _dir("out"), "in_degree": _dir("in")}
-    found = complete(g.nodes, counted(adjacency(g.edges), wanted))
+    found = complete(g.nodes, counted(incident(g), wanted))
     sums = [(F.col(f"out_{x}") + F.col(f"in_{x}")).alias(f"total_{x}") for x in [*(f"c{w}" for w in windows), "degree"]]
     return found.select("*", *sums)
 
@@ -178,7 +178,7 @@ def adaptive_window(g: GraphFrame) -> DataFrame:
 
 def bursts(g: GraphFrame, windows: tuple[int, ...]) -> DataFrame:
     """{out,in,total}_b{w}: the most edges of a node on one of the last w days; a self-loop counts twice in total."""
-    late = adjacency(g.edges).filter(F.col("day") > g.max_day() - max(windows))
+    late = incident(g).filter(F.col("day") > g.max_day() - max(windows))
     by_day = late.groupBy("center", "day").agg(*[F.count_if(_dir(d)).cast("double").alias(d) for d in ("out", "in")], F.count(F.lit(1)).cast("double").alias("total"))
     wanted = [F.max(F.when(F.col("day") > g.max_day() - w, F.col(d)).otherwise(0.0)).alias(f"{d}_b{w}") for w in windows for d in DIRECTIONS]
     return complete(g.nodes, by_day.groupBy("center").agg(*wanted))

@@ -178,7 +178,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 def stored(g: GraphFrame) -> GraphFrame:
     """The graph from tables written once, so that each operator reads edges, not what they were made of."""
-    return replace(g, nodes=_written(g.nodes, "nodes"), edges=_written(g.edges, "edges"), facts={})
+    return replace(g, nodes=_written(g.nodes, "nodes"), edges=_written(g.edges, "edges"), facts={}, adjacency=None)
 
 
 def resolve(profile: str, extra: Sequence[str] = ()) -> list[str]:

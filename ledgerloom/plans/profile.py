@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import FRAUD, NORMAL, UNKNOWN, GraphFrame
-from ledgerloom.operators.graph import activity, adjacency, degrees
+from ledgerloom.operators.graph import activity, degrees, incident
 from ledgerloom.operators.ranks import quantiles, running
 from ledgerloom.operators.windows import edge_time_windows
 
@@ -117,7 +117,7 @@ def background_bridge(g: GraphFrame) -> DataFrame:
     """How much the labelled nodes touch the background: edges and distinct nodes, by class."""
     far = g.nodes.select(F.col("node_id").alias("neighbor"), F.col("y").alias("far_y"))
     own = g.nodes.filter(F.col("y").isin(NORMAL, FRAUD)).select(F.col("node_id").alias("center"), "y")
-    rows = adjacency(g.edges).join(far.filter(F.col("far_y").isin(*g.schema.background)), "neighbor").join(own, "center")
+    rows = incident(g).join(far.filter(F.col("far_y").isin(*g.schema.background)), "neighbor").join(own, "center")
     touched = rows.groupBy("y", "center").agg(F.count(F.lit(1)).alias("n")).groupBy("y").agg(F.sum("n").alias("edges"), F.count(F.lit(1)).alias("nodes"))
     sizes = own.groupBy("y").agg(F.count(F.lit(1)).alias("class_nodes"))
     return sizes.join(touched, "y", "left").select("y", "class_nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("nodes", F.lit(0)).alias("nodes"), (F.coalesce("nodes", F.lit(0)) / F.col("class_nodes")).alias("touch_ratio"))

@@ -60,11 +60,6 @@ def read_phase(spark: SparkSession, path: str, schema: GraphSchema) -> GraphFram
     return GraphFrame(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), schema)
 
 
-def write_adjacency(adj: DataFrame, table: str, buckets: int) -> None:
-    """The adjacency as a table bucketed and sorted by center: joins and group-bys on it need no shuffle."""
-    adj.write.mode("overwrite").bucketBy(buckets, "center").sortBy("center").format("parquet").saveAsTable(table)
-
-
 def write_feature_groups(groups: Mapping[str, DataFrame], path: str, only: Sequence[str] | None = None) -> DataFrame:
     """Each group of features as Parquet of its own, or only the named ones; (group, ordinal, name) of the written columns."""
     rows = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from ledgerloom import wider_queries  # noqa: F401  its SQL is built upon here
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions import scalar
 from ledgerloom.more_queries import add
-from ledgerloom.operators import graph, prepare
+from ledgerloom.operators import graph, prepare, sampling, windows
 from ledgerloom.oracles import ORDERS, r6
 from ledgerloom.plans import report
-from ledgerloom.queries import ORACLES, on_orders, register
-from ledgerloom.sources import archives, tables
+from ledgerloom.queries import ORACLES, on_events, on_orders, register
+from ledgerloom.sources import adjacency, archives, tables
 from ledgerloom.sources.shared import shared_folder
 
 
@@ -45,3 +47,18 @@ register("archive_predictions", archive_predictions)
 _DEGREES = "d AS (SELECT center, count(*) FILTER (dir = 'in') AS i, count(*) FILTER (dir = 'out') AS o FROM adj GROUP BY center)"
 add("archive_phase", f"WITH {ORDERS}, {_DEGREES} SELECT node_id, {r6('x0', 'x0')}, {r6('x1', 'x1')}, {r6('x2', 'x2')}, y, {r6('coalesce(i, 0)', 'indegree')}, {r6('coalesce(o, 0)', 'outdegree')}, y IN (0, 1) AS train_mask, y = -100 AS test_mask FROM nodes LEFT JOIN d ON center = node_id")
 add("archive_predictions", ORACLES["average_predictions"])
+
+
+# A stored adjacency.
+def bucketed(g: GraphFrame) -> GraphFrame:
+    """The graph, stored in buckets and read back."""
+    spark, name = g.nodes.sparkSession, f"ledgerloom_{uuid.uuid4().hex}"
+    return adjacency.read(spark, adjacency.write(g, name, shared_folder(spark, name), rows_a_bucket=1 << 16), g.schema)
+
+
+on_orders("adjacency_degree", lambda g: graph.degrees(bucketed(g)))
+on_orders("adjacency_windows", lambda g: windows.window_counts(bucketed(g)))
+on_orders("adjacency_background", lambda g: graph.background_touch(bucketed(g)))
+on_events("adjacency_recent", lambda g: sampling.top_recent(bucketed(g), 5))
+for _name, _plain in {"adjacency_degree": "graph_degree", "adjacency_windows": "window_counts", "adjacency_background": "background_touch", "adjacency_recent": "topk_recent_neighbors"}.items():
+    add(_name, ORACLES[_plain])
