@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.gram import Moments, moments, none
 from ledgerloom.operators.ranks import medians, quantiles
 
 MISSING = -1.0
@@ -101,6 +103,92 @@ def ridge_fill(nodes: DataFrame, target: str, predictors: Sequence[str], *, alph
     return rows.select("node_id", F.coalesce("_t", value).alias(target), F.col("_t").isNull().alias("filled"))
 
 
+@dataclass(frozen=True)
+class Ridge:
+    """A linear map and how well it did on the rows held out."""
+
+    alpha: float
+    weights: np.ndarray
+    intercept: float
+    error: float
+    r2: float
+
+
+def ridge_of(train: Moments, alpha: float) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of the last column on the others, which are standardised for the penalty alone."""
+    spread = np.where(train.deviations()[:-1] > 0, train.deviations()[:-1], 1.0)
+    products = train.products[:-1, :-1] / np.outer(spread, spread) + alpha * np.eye(len(spread))
+    w = np.linalg.solve(products, train.products[:-1, -1] / spread) / spread
+    return w, float(train.mean[-1] - w @ train.mean[:-1])
+
+
+def held_out(m: Moments, w: np.ndarray, b: float) -> tuple[float, float]:
+    """(sum of squared errors, R2) of a map on rows, of which only the moments are needed."""
+    if not m.n:
+        return 0.0, 0.0
+    signs, off = np.append(-w, 1.0), float(m.mean[-1] - w @ m.mean[:-1] - b)
+    error = max(float(signs @ m.products @ signs), 0.0) + m.n * off * off
+    return error, 1 - error / m.products[-1, -1] if m.products[-1, -1] > 0 else 0.0
+
+
+def ridge_chosen(train: Moments, valid: Moments, alphas: Sequence[float]) -> Ridge:
+    """The penalty with the least error on the rows held out, then the smallest; no rows are read again for any."""
+    tried = []
+    for alpha in sorted(max(float(a), 1e-6) for a in alphas):
+        w, b = ridge_of(train, alpha)
+        tried.append(Ridge(alpha, w, b, *held_out(valid, w, b)))
+    return min(tried, key=lambda r: (r.error, r.alpha))
+
+
+REPORT = "target string, fill string, alpha double, train_rows long, validation_rows long, r2 double, observed_min double, observed_median double, observed_max double"
+
+
+def ridge_holdout_fill(nodes: DataFrame, targets: Sequence[str], predictors: Sequence[str], step: str, *, alphas: Sequence[float] = (1.0,), least_train: int = 1000, least_valid: int = 100, least_fit: int = 100, clip: float = 0.001, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(rows with node_id, and each target and target_filled; a report with a row for each target): missing values by ridge regression, tested on the latest steps.
+
+    Of the rows that have the target, those of the latest two steps are held out; if that leaves too few on either side,
+    a fifth drawn by node_id. Predictors are filled by their medians among the training rows. If no observed value is below 0 the
+    logarithm of 1 + target is fitted. One pass takes the sums of products of both sides, from which all penalties
+    are solved and tested. Values stay within the quantiles `clip` and 1 - `clip` of the observed ones. With fewer than least_fit
+    training rows the median is filled in, without observed rows 0. Null and NaN are missing as MISSING is.
+    """
+    from ledgerloom.operators.sampling import draw
+
+    report, values = [], {}
+    for target in targets:
+        known = nodes.filter(seen(target).isNotNull())
+        facts = known.agg(F.count(F.lit(1)).alias("n"), F.max(step).alias("last"), F.min(target).alias("low"), F.max(target).alias("high")).first()
+        if not facts["n"]:
+            values[target] = F.lit(0.0)
+            report.append((target, "zero", None, 0, 0, None, None, None, None))
+            continue
+        low, middle, high = quantiles(known, target, [clip, 0.5, 1 - clip])[()]
+        of = (float(facts["low"]), float(middle), float(facts["high"]))
+        late = F.coalesce(F.col(step) >= facts["last"] - 1, F.lit(False)) if facts["last"] is not None else F.lit(False)
+        sides = known.agg(F.count_if(~late).alias("train"), F.count_if(late).alias("valid")).first()
+        if sides["train"] < least_train or sides["valid"] < least_valid:
+            late = draw(seed, "node_id") > 0.8
+        between = medians(known.filter(~late), {p: seen(p) for p in predictors})
+        filled = [F.coalesce(seen(p), F.lit(float(between.get(p, 0.0)))).cast("double") for p in predictors]
+        positive = facts["low"] >= 0
+        goal = F.log1p(target) if positive else F.col(target)
+        found = moments(known, [*filled, goal], late.cast("int"))
+        train, valid = (found.get(k, none(len(predictors) + 1)) for k in (0, 1))
+        if train.n < least_fit:
+            values[target] = F.lit(float(middle))
+            report.append((target, "median", None, int(train.n), int(valid.n), None, *of))
+            continue
+        best = ridge_chosen(train, valid, alphas)
+        value = F.lit(best.intercept)
+        for w, x in zip(best.weights, filled, strict=True):
+            value = value + F.lit(float(w)) * x
+        value = F.expm1(value) if positive else value
+        values[target] = F.least(F.greatest(F.coalesce(F.when(~F.isnan(value), value), F.lit(float(middle))), F.lit(float(low))), F.lit(float(high)))
+        report.append((target, "ridge_log" if positive else "ridge", best.alpha, int(train.n), int(valid.n), float(best.r2) if valid.n else None, *of))
+    rows = nodes.select("node_id", *[x for t in targets for x in (F.coalesce(seen(t), values[t]).alias(t), seen(t).isNull().alias(f"{t}_filled"))])
+    return rows, nodes.sparkSession.createDataFrame(report, REPORT)
+
+
 def forced_missing(nodes: DataFrame, columns: Sequence[str], n: int, key: str = "node_id") -> DataFrame:
     """nodes with the columns marked missing in the n fully observed rows of smallest absolute sum."""
     total = F.lit(0.0)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame
-from ledgerloom.operators import graph, impute, pairs, ranks, rows, snapshot, windows
+from ledgerloom.operators import gram, graph, impute, pairs, ranks, rows, snapshot, windows
 from ledgerloom.sources.shared import shared_folder
 
 #: Operators by name; each gives a row for each node.
@@ -136,27 +136,26 @@ def projection(g: GraphFrame, train: DataFrame, width: int = 32) -> DataFrame:
     """(node_id, utpm_attr_proj_0, ...): raw columns projected on the singular vectors of the training rows.
 
     Medians fill what is missing, then columns are standardised, both over the training rows (node_id).
-    The singular vectors are eigenvectors of the columns' products, one aggregate; the driver solves a system
-    as large as there are columns. Of a vector's two signs that is taken whose largest component is positive.
+    The singular vectors are eigenvectors of the columns' products, taken in one pass (`operators/gram.py`); the driver
+    solves a system as large as there are columns. Of a vector's two signs that is taken whose largest component is positive.
     Columns beyond the components are 0; without training rows all are.
     """
     raw = g.schema.raw_columns
     known = g.nodes.join(train.select("node_id"), "node_id", "left_semi")
     middle = ranks.medians(known, {c: impute.seen(c) for c in raw})
     filled = lambda c: F.coalesce(impute.seen(c), F.lit(middle.get(c, 0.0)))
-    row = known.agg(F.count(F.lit(1)).alias("n"), *[f(filled(c)).alias(f"{k}{c}") for c in raw for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    n = min(width, len(raw), max(row["n"] - 1, 1)) if row["n"] else 0
-    scaled = {c: (filled(c) - F.lit(row[f"m{c}"] or 0.0)) / F.lit(row[f"s{c}"] if (row[f"s{c}"] or 0.0) >= 1e-6 else 1.0) for c in raw}
+    found = gram.total(gram.moments(known, [filled(c) for c in raw]), len(raw))
+    n = min(width, len(raw), max(int(found.n) - 1, 1)) if found.n else 0
+    spread = np.where(found.deviations() >= 1e-6, found.deviations(), 1.0)
+    scaled = {c: (filled(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(raw, found.mean, spread, strict=True)}
     parts: list[Column] = []
     if n:
-        products = known.agg(*[F.sum(scaled[a] * scaled[b]).alias(f"p_{i}_{j}") for i, a in enumerate(raw) for j, b in enumerate(raw) if i <= j]).first()
-        _, vectors = np.linalg.eigh(np.array([[products[f"p_{min(i, j)}_{max(i, j)}"] for j in range(len(raw))] for i in range(len(raw))], float))
+        _, vectors = np.linalg.eigh(found.products / np.outer(spread, spread))
         for v in vectors.T[::-1][:n]:
             v = v if v[np.argmax(np.abs(v))] > 0 else -v
-            part = F.lit(0.0)
-            for c, w in zip(raw, v, strict=True):
-                part = part + scaled[c] * F.lit(float(w))
-            parts.append(part)
+            # One fold over two arrays, so that a wide table isn't a deep expression.
+            values = F.array(*[scaled[c] * F.lit(float(w)) for c, w in zip(raw, v, strict=True)])
+            parts.append(F.aggregate(values, F.lit(0.0), lambda a, x: a + x))
     parts += [F.lit(0.0)] * (width - len(parts))
     return g.nodes.select("node_id", *[p.alias(f"utpm_attr_proj_{i}") for i, p in enumerate(parts)])
 

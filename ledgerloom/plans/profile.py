@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import FRAUD, NORMAL, UNKNOWN, GraphFrame
+from ledgerloom.operators import gram
 from ledgerloom.operators.graph import activity, degrees, incident
 from ledgerloom.operators.ranks import quantiles, running
 from ledgerloom.operators.windows import edge_time_windows
@@ -73,11 +74,13 @@ def missing_by_group(g: GraphFrame) -> DataFrame:
 
 
 def feature_corr(g: GraphFrame) -> DataFrame:
-    """(feature_a, feature_b, corr) of all pairs of raw columns, in one aggregate."""
-    names = g.schema.raw_columns
-    pairs = [(a, b) for a in names for b in names]
-    row = g.nodes.agg(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("p"))
-    return row.select(F.explode("p").alias("p")).select("p.*")
+    """(feature_a, feature_b, corr) of all pairs of raw columns, in one pass."""
+    return gram.pairs(g.nodes, g.schema.raw_columns)
+
+
+def feature_square(g: GraphFrame) -> DataFrame:
+    """The same as a square table: a row and a column for each raw column."""
+    return gram.square(g.nodes, g.schema.raw_columns)
 
 
 def basic_stats(value: Column) -> list[Column]:

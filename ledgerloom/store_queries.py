@@ -1,4 +1,4 @@
-"""Stored forms of the graph as queries: archives of arrays, and a bucketed adjacency; each with its SQL."""
+"""Stored forms of the graph and work over wide tables as queries: archives of arrays, a bucketed adjacency, sums of products; each with its SQL."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from ledgerloom import wider_queries  # noqa: F401  its SQL is built upon here
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions import scalar
 from ledgerloom.more_queries import add
-from ledgerloom.operators import graph, prepare, sampling, windows
-from ledgerloom.oracles import ORDERS, r6
-from ledgerloom.plans import report
+from ledgerloom.operators import graph, impute, prepare, sampling, windows
+from ledgerloom.oracles import ORDERS, RAW, r6
+from ledgerloom.plans import profile, report
 from ledgerloom.queries import ORACLES, on_events, on_orders, register
 from ledgerloom.sources import adjacency, archives, tables
 from ledgerloom.sources.shared import shared_folder
@@ -62,3 +62,29 @@ on_orders("adjacency_background", lambda g: graph.background_touch(bucketed(g)))
 on_events("adjacency_recent", lambda g: sampling.top_recent(bucketed(g), 5))
 for _name, _plain in {"adjacency_degree": "graph_degree", "adjacency_windows": "window_counts", "adjacency_background": "background_touch", "adjacency_recent": "topk_recent_neighbors"}.items():
     add(_name, ORACLES[_plain])
+
+
+# Sums of products.
+ALPHAS = (0.1, 10.0, 1000.0)
+
+
+def ridge_holdout(g: GraphFrame) -> tuple[DataFrame, DataFrame]:
+    """x0 by x1 and x2, with the first activity, in steps of 20 days up to the eighth, for the hold-out."""
+    steps = graph.activity(g).select("node_id", F.least(F.floor(F.col("first_active") / 20), F.lit(8)).alias("step"))
+    return impute.ridge_holdout_fill(g.nodes.join(steps, "node_id"), ["x0"], ["x1", "x2"], "step", alphas=ALPHAS, least_train=50, least_valid=5, least_fit=20)
+
+
+on_orders("feature_square", profile.feature_square)
+on_orders("ridge_holdout", lambda g: ridge_holdout(g)[0])
+on_orders("ridge_holdout_report", lambda g: ridge_holdout(g)[1])
+add("feature_square", f"WITH {ORDERS} " + " UNION ALL ".join(f"SELECT '{a}' AS feature, {', '.join(r6(f'corr({a}, {b})', b) for b in RAW)} FROM nodes" for a in RAW))
+_RIDGE = f"""WITH {ORDERS}, k AS (SELECT n.node_id, x0, x1, x2, least(floor(first_active / 20.0), 8) AS s FROM nodes n JOIN act ON act.node_id = n.node_id),
+h AS (SELECT *, s >= max(s) OVER () - 1 AS held FROM k WHERE x0 <> -1),
+m AS (SELECT median(x1) FILTER (x1 <> -1 AND NOT held) AS m1, median(x2) FILTER (x2 <> -1 AND NOT held) AS m2 FROM h),
+f AS (SELECT k.node_id, k.x0, CASE WHEN k.x1 = -1 THEN m1 ELSE k.x1 END AS a, CASE WHEN k.x2 = -1 THEN m2 ELSE k.x2 END AS b, ln(1 + k.x0) AS y, held FROM k CROSS JOIN m LEFT JOIN h ON h.node_id = k.node_id),
+t AS (SELECT count(*)::DOUBLE AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(y) AS my, count(*) * corr(a, b) AS c, count(*) * covar_pop(a, y) / stddev_pop(a) AS p, count(*) * covar_pop(b, y) / stddev_pop(b) AS q FROM f WHERE NOT held),
+w AS (SELECT alpha, ((n + alpha) * p - c * q) / ((n + alpha) * (n + alpha) - c * c) AS w1, ((n + alpha) * q - c * p) / ((n + alpha) * (n + alpha) - c * c) AS w2 FROM t, (SELECT unnest({list(ALPHAS)}::DOUBLE[]) AS alpha)),
+e AS (SELECT alpha, w1, w2, sum((y - my - w1 * (a - ma) / sa - w2 * (b - mb) / sb) ** 2) AS error, count(*) AS n_held, var_pop(y) * count(*) AS spread FROM f, t, w WHERE held GROUP BY ALL ORDER BY error, alpha LIMIT 1),
+z AS (SELECT quantile_cont(x0, 0.001) AS lo, median(x0) AS mid, quantile_cont(x0, 0.999) AS hi, min(x0) AS a0, max(x0) AS b0 FROM h)"""
+add("ridge_holdout", f"{_RIDGE} SELECT node_id, {r6('CASE WHEN x0 <> -1 THEN x0 ELSE least(greatest(exp(my + w1 * (a - ma) / sa + w2 * (b - mb) / sb) - 1, lo), hi) END', 'x0')}, x0 = -1 AS x0_filled FROM f, t, e, z")
+add("ridge_holdout_report", f"{_RIDGE} SELECT 'x0' AS target, 'ridge_log' AS fill, {r6('alpha', 'alpha')}, t.n::BIGINT AS train_rows, n_held::BIGINT AS validation_rows, {r6('1 - error / spread', 'r2')}, {r6('a0', 'observed_min')}, {r6('mid', 'observed_median')}, {r6('b0', 'observed_max')} FROM e, t, z")
