@@ -6,8 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,18 +86,15 @@ def affine_fill(nodes: DataFrame, target: str, predictors: Sequence[str], *, siz
 
 
 def ridge_fill(nodes: DataFrame, target: str, predictors: Sequence[str], *, alpha: float = 1.0) -> DataFrame:
-    """(node_id, target, filled): missing values by ridge regression of log1p(target), within the observed range."""
+    """(node_id, target, filled): missing values by ridge regression of log1p(target) on standardised predictors, within the quantiles 0.01 and 0.99 of the observed values."""
     base = constant_fill(nodes, predictors)
     rows = base.join(nodes.select("node_id", seen(target).alias("_t")), "node_id")
-    known = rows.filter(F.col("_t") >= 0).withColumn("_log", F.log1p("_t"))
-    facts = known.agg(F.count(F.lit(1)).alias("n")).first()
-    if not facts["n"]:
+    known = rows.filter(F.col("_t") >= 0)
+    found = moments(known, [*[F.col(p) for p in predictors], F.log1p("_t")]).get(None)
+    if found is None:
         return rows.select("node_id", F.coalesce("_t", F.lit(0.0)).alias(target), F.col("_t").isNull().alias("filled"))
-    vector = VectorAssembler(inputCols=list(predictors), outputCol="_x")
-    model = LinearRegression(featuresCol="_x", labelCol="_log", regParam=alpha / facts["n"], elasticNetParam=0.0, solver="normal").fit(vector.transform(known))
     low, high = quantiles(known, "_t", [0.01, 0.99])[()]
-    w = [float(c) for c in model.coefficients]
-    value = F.least(F.greatest(F.expm1(_linear(predictors, w, model.intercept)), F.lit(float(low))), F.lit(float(high)))
+    value = F.least(F.greatest(F.expm1(_linear(predictors, *ridge_of(found, alpha))), F.lit(float(low))), F.lit(float(high)))
     return rows.select("node_id", F.coalesce("_t", value).alias(target), F.col("_t").isNull().alias("filled"))
 
 

@@ -88,3 +88,10 @@ e AS (SELECT alpha, w1, w2, sum((y - my - w1 * (a - ma) / sa - w2 * (b - mb) / s
 z AS (SELECT quantile_cont(x0, 0.001) AS lo, median(x0) AS mid, quantile_cont(x0, 0.999) AS hi, min(x0) AS a0, max(x0) AS b0 FROM h)"""
 add("ridge_holdout", f"{_RIDGE} SELECT node_id, {r6('CASE WHEN x0 <> -1 THEN x0 ELSE least(greatest(exp(my + w1 * (a - ma) / sa + w2 * (b - mb) / sb) - 1, lo), hi) END', 'x0')}, x0 = -1 AS x0_filled FROM f, t, e, z")
 add("ridge_holdout_report", f"{_RIDGE} SELECT 'x0' AS target, 'ridge_log' AS fill, {r6('alpha', 'alpha')}, t.n::BIGINT AS train_rows, n_held::BIGINT AS validation_rows, {r6('1 - error / spread', 'r2')}, {r6('a0', 'observed_min')}, {r6('mid', 'observed_median')}, {r6('b0', 'observed_max')} FROM e, t, z")
+add(
+    "ridge_impute",
+    f"""WITH {ORDERS}, m AS (SELECT median(x1) FILTER (x1 <> -1) AS m1, median(x2) FILTER (x2 <> -1) AS m2 FROM nodes),
+f AS (SELECT node_id, x0, CASE WHEN x1 = -1 THEN m1 ELSE x1 END AS a, CASE WHEN x2 = -1 THEN m2 ELSE x2 END AS b, ln(1 + x0) AS y FROM nodes, m),
+t AS (SELECT count(*) + 1.0 AS d, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(y) AS my, count(*) * corr(a, b) AS c, count(*) * covar_pop(a, y) / stddev_pop(a) AS p, count(*) * covar_pop(b, y) / stddev_pop(b) AS q, quantile_cont(x0, 0.01) AS lo, quantile_cont(x0, 0.99) AS hi FROM f WHERE x0 <> -1)
+SELECT node_id, {r6('CASE WHEN x0 <> -1 THEN x0 ELSE least(greatest(exp(my + (d * p - c * q) / (d * d - c * c) * (a - ma) / sa + (d * q - c * p) / (d * d - c * c) * (b - mb) / sb) - 1, lo), hi) END', 'x0')}, x0 = -1 AS filled FROM f, t""",
+)
