@@ -58,15 +58,15 @@ on_events("uniform_fanout", lambda g: sampling.uniform_fanout(g, 4, 7))
 on_events("hash_sample", lambda g: sampling.uniform_sample(g.nodes, 40, 3))
 on_orders("stratified_sample", lambda g: sampling.stratified_sample(windows.node_time_bucket(g).select("node_id", "time_bucket"), "time_bucket", 60, 5))
 on_events("hardest_negatives", lambda g: sampling.hardest(g.nodes.withColumn("bucket", (F.col("node_id") % 4).cast("int")).select("node_id", "x0", "bucket"), "bucket", "x0", 5))
-on_events("khop_subgraph", lambda g: sampling.khop(g, g.nodes.filter(F.col("node_id") % 10 == 0).select(F.col("node_id").alias("seed")), (3, 2)))
 on_events("induced_subgraph", lambda g: sampling.induced(g.edges, g.nodes.filter(F.col("x0") > 60)))
 on_events("weighted_fanout", lambda g: sampling.weighted_fanout(g, weights.class_weight(sampling.edges_seen(g), "rel_id"), 4, 9, pool=12))
 on_events("hybrid_fanout", lambda g: sampling.hybrid_fanout(g, 6, 2))
 on_orders("balanced_batches", lambda g: sampling.balanced_batches(g.nodes, {0: 8, 1: 4}, 1))
-on_events("subgraph_stats", lambda g: weights.subgraph_stats(sampling.khop(g, g.nodes.filter(F.col("node_id") % 10 == 0).select(F.col("node_id").alias("seed")), (3, 2))))
-# As khop_subgraph and subgraph_stats, whose SQL has every tenth node as a seed, from all nodes.
-on_events("khop_subgraph_all", lambda g: sampling.khop(g, g.nodes.select(F.col("node_id").alias("seed")), (3, 2)))
-on_events("subgraph_stats_all", lambda g: weights.subgraph_stats(sampling.khop(g, g.nodes.select(F.col("node_id").alias("seed")), (3, 2))))
+# Every node is a seed; the fanouts bound what one seed reaches.
+for _name in ("khop_subgraph", "khop_subgraph_all"):
+    on_events(_name, lambda g: sampling.khop(g, g.nodes.select(F.col("node_id").alias("seed")), (3, 2)))
+for _name in ("subgraph_stats", "subgraph_stats_all"):
+    on_events(_name, lambda g: weights.subgraph_stats(sampling.khop(g, g.nodes.select(F.col("node_id").alias("seed")), (3, 2))))
 LATEST = "ORDER BY day DESC, neighbor, rel_id"
 add("topk_recent_neighbors", f"WITH {EVENTS}, {SEEN}, r AS (SELECT *, (row_number() OVER (PARTITION BY center, dir {LATEST}))::INTEGER AS rank FROM seen) SELECT * FROM r WHERE rank <= 5")
 add(
@@ -78,7 +78,7 @@ add("stratified_sample", f"WITH {ORDERS}, d AS (SELECT node_id, time_bucket, {_u
 add("hardest_negatives", f"WITH {EVENTS}, b AS (SELECT node_id, x0, (node_id % 4)::INTEGER AS bucket FROM nodes), r AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY x0 DESC, node_id))::INTEGER AS rank FROM b) SELECT node_id, {r6('x0', 'x0')}, bucket, rank FROM r WHERE rank <= 5")
 add("induced_subgraph", f"WITH {EVENTS}, k AS (SELECT node_id FROM nodes WHERE x0 > 60) SELECT src, dst, edge_type, day FROM edges WHERE src IN (SELECT * FROM k) AND dst IN (SELECT * FROM k)")
 KHOP = f"""WITH {EVENTS}, {SEEN}, r AS (SELECT *, row_number() OVER (PARTITION BY center, dir {LATEST}) AS rank FROM seen),
-s AS (SELECT node_id AS seed FROM nodes WHERE node_id % 10 = 0),
+s AS (SELECT node_id AS seed FROM nodes),
 h1 AS (SELECT s.seed, r.* FROM s JOIN r ON r.center = s.seed AND rank <= 3), f1 AS (SELECT DISTINCT seed, neighbor FROM h1 WHERE neighbor <> seed),
 h2 AS (SELECT f1.seed, r.* FROM f1 JOIN r ON r.center = f1.neighbor AND rank <= 2),
 k AS (SELECT seed, hop, CASE dir WHEN 'in' THEN neighbor ELSE center END AS src, CASE dir WHEN 'in' THEN center ELSE neighbor END AS dst, rel_id, day FROM (SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2))"""
@@ -88,14 +88,14 @@ add(
     f"{KHOP}, n AS (SELECT seed, count(DISTINCT v) AS v FROM (SELECT seed, src AS v FROM k UNION ALL SELECT seed, dst FROM k) GROUP BY seed) SELECT k.seed, {r6('ln(1 + any_value(n.v))', 'log_nodes')}, {r6('ln(1 + count(*))', 'log_edges')}, {r6('ln(1 + count(DISTINCT rel_id))', 'log_kinds')}, {r6('ln(1 + count(*) FILTER (WHERE dst = k.seed))', 'log_in')}, {r6('ln(1 + count(*) FILTER (WHERE src = k.seed))', 'log_out')}, {r6('avg(day)', 'mean_day')} FROM k JOIN n ON n.seed = k.seed GROUP BY k.seed",
 )
 for _name in ("khop_subgraph", "subgraph_stats"):
-    add(f"{_name}_all", ORACLES[_name].replace(" WHERE node_id % 10 = 0", ""))
+    add(f"{_name}_all", ORACLES[_name])
 
 # Preparation and imputation.
 on_orders("contract_violations", lambda g: violations(g, *prepare.id_lists(g.nodes)))
 on_orders("phase_one", lambda g: prepare.phase_one(graph.activity(g).select("node_id", F.col("first_active").alias("step")), g.edges, 400)[1])
 on_orders("phase_two_labels", lambda g: prepare.phase_two_labels(g.nodes.join(graph.activity(g).select("node_id", F.col("first_active").alias("step")), "node_id"), 60).select("node_id", "y"))
 on_orders("median_impute", lambda g: impute.constant_fill(g.nodes, g.schema.raw_columns))
-on_orders("affine_impute", lambda g: impute.affine_fill(g.nodes.filter(tables.is_customer(F.col("node_id"))).join(graph.degrees(g), "node_id"), "x0", ["x1", "x2", "outdegree"], sizes=(1,)))
+on_orders("affine_impute", lambda g: impute.affine_fill(g.nodes.join(graph.degrees(g), "node_id"), "x0", ["x1", "x2", "outdegree"], sizes=(1,)))
 on_orders("ridge_impute", lambda g: impute.ridge_fill(g.nodes, "x0", ["x1", "x2"]))
 add("contract_violations", f"WITH {ORDERS} SELECT unnest(['edge_type_in_range', 'edge_has_day', 'label_in_domain', 'node_id_unique', 'src_is_node', 'dst_is_node', 'train_is_labelled', 'test_is_unknown', 'train_and_test_disjoint']) AS rule, unnest([(SELECT count(*) FROM edges WHERE edge_type NOT BETWEEN 1 AND 6), (SELECT count(*) FROM edges WHERE day IS NULL), (SELECT count(*) FROM nodes WHERE y NOT IN (-100, 0, 1, 2, 3)), (SELECT count(*) - count(DISTINCT node_id) FROM nodes), (SELECT count(*) FROM edges WHERE src NOT IN (SELECT node_id FROM nodes)), (SELECT count(*) FROM edges WHERE dst NOT IN (SELECT node_id FROM nodes)), 0, 0, 0]) AS violations")
 add("phase_one", f"WITH {ORDERS}, k AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM act WHERE first_active <= 400) SELECT a.i AS src, b.i AS dst, edge_type, day FROM edges JOIN k a ON a.node_id = src JOIN k b ON b.node_id = dst WHERE day <= 400")
@@ -103,7 +103,7 @@ add("phase_two_labels", f"WITH {ORDERS} SELECT n.node_id, (CASE WHEN first_activ
 add("median_impute", f"WITH {ORDERS} SELECT node_id, {', '.join(r6(f'CASE WHEN {c} = -1 THEN (SELECT median({c}) FROM nodes WHERE {c} <> -1) ELSE {c} END', c) for c in RAW)} FROM nodes")
 add(
     "affine_impute",
-    f"""WITH {ORDERS}, o AS (SELECT n.node_id, x0, x1, x2, (SELECT count(*) FROM edges WHERE src = n.node_id)::DOUBLE AS d FROM nodes n WHERE n.node_id < 1000000), k AS (SELECT * FROM o WHERE x0 <> -1),
+    f"""WITH {ORDERS}, o AS (SELECT n.node_id, x0, x1, x2, (SELECT count(*) FROM edges WHERE src = n.node_id)::DOUBLE AS d FROM nodes n), k AS (SELECT * FROM o WHERE x0 <> -1),
 f AS (SELECT c[1] AS r, c[2] AS w, c[3] AS b, c[4] AS name FROM (SELECT unnest([[abs(corr(x0, x1)), regr_slope(x0, x1), regr_intercept(x0, x1), 2], [abs(corr(x0, x2)), regr_slope(x0, x2), regr_intercept(x0, x2), 3], [abs(corr(x0, d)), regr_slope(x0, d), regr_intercept(x0, d), 1]]) AS c FROM k) ORDER BY r DESC, name LIMIT 1)
 SELECT node_id, {r6("CASE WHEN x0 <> -1 THEN x0 ELSE greatest(b + w * (CASE name WHEN 2 THEN x1 WHEN 3 THEN x2 ELSE d END), 0) END", "x0")}, x0 = -1 AS filled FROM o, f""",
 )

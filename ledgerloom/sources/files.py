@@ -1,4 +1,4 @@
-"""Reading and writing the graph's files: Parquet phases, delimited tables, JSON, predictions and epoch rows."""
+"""Reading and writing the graph's files: Parquet phases, delimited tables, JSON and predictions."""
 
 from __future__ import annotations
 
@@ -93,12 +93,6 @@ def read_predictions(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def read_epochs(spark: SparkSession, glob: str) -> DataFrame:
-    """Epoch rows of many runs, with the file they come from."""
-    schema = "epoch int, train_loss double, val_loss double, train_auc double, val_auc double, best_epoch int"
-    return spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(glob).withColumn("path", F.input_file_name())
-
-
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

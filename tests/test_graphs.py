@@ -202,6 +202,6 @@ def test_customers_and_suppliers_never_share_an_id(spark, tmp_path):
     ends = Counter(x for r in g.edges.collect() for x in (r["src"], r["dst"]))
     assert set(ends) == set(ids) and sorted(ends.values()) == sorted([3 * (i % 3 + 1) for i in range(7)] + [len(orders)] * 3)
     assert g.nodes.filter(tables.is_customer(F.col("node_id"))).count() == len(keys)
-    for name, rows_, filled in (("affine_impute", len(keys), 1), ("ridge_impute", len(ids), 2)):
+    for name, rows_, filled in (("affine_impute", len(ids), 2), ("ridge_impute", len(ids), 2)):
         got = entry.queries()[name](spark, str(tmp_path)).collect()
         assert len({r["node_id"] for r in got}) == len(got) == rows_ and sum(r["filled"] for r in got) == filled
