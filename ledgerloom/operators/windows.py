@@ -140,16 +140,17 @@ def time_detrend(g: GraphFrame) -> DataFrame:
 
 
 def trailing_counts(g: GraphFrame, windows: tuple[int, ...]) -> DataFrame:
-    """{out,in,total}_c{w}: edges of the last w days; {out,in,total}_degree: all."""
+    """{out,in,total}_c{w}: edges of the last w days; {out,in,total}_degree: all; cohort: by the first day of any edge. One aggregate."""
     wanted = {f"{d}_c{w}": _dir(d) & (F.col("day") > g.max_day() - w) for w in windows for d in ("out", "in")} | {"out_degree": _dir("out"), "in_degree": _dir("in")}
-    found = complete(g.nodes, counted(incident(g), wanted))
+    found = incident(g).groupBy("center").agg(*[F.count_if(c).cast("double").alias(n) for n, c in wanted.items()], F.min("day").alias("_first"))
+    whole = complete(g.nodes, found, dict.fromkeys(wanted, 0.0) | {"_first": g.max_day() + 1})
     sums = [(F.col(f"out_{x}") + F.col(f"in_{x}")).alias(f"total_{x}") for x in [*(f"c{w}" for w in windows), "degree"]]
-    return found.select("*", *sums)
+    return whole.select("*", *sums, cohort(F.col("_first")).alias("cohort")).drop("_first")
 
 
 def adaptive_window(g: GraphFrame) -> DataFrame:
     """The trailing window in which a node stands out most from its cohort, by counts and by shares, and which it is."""
-    rows = trailing_counts(g, ADAPTIVE_WINDOWS).join(with_cohort(g), "node_id")
+    rows = trailing_counts(g, ADAPTIVE_WINDOWS)
     columns: dict = {}
     s, l = CONTRAST  # noqa: E741
     for d in DIRECTIONS:
@@ -187,7 +188,7 @@ def bursts(g: GraphFrame, windows: tuple[int, ...]) -> DataFrame:
 def dual_scale_delta(g: GraphFrame) -> DataFrame:
     """A short window against a long one, normalised within the cohort: density, share and burst."""
     lengths = tuple(sorted({w for p in DUAL_PAIRS for w in p}))
-    rows = trailing_counts(g, lengths).join(bursts(g, tuple(s for s, _ in DUAL_PAIRS)), "node_id").join(with_cohort(g), "node_id")
+    rows = trailing_counts(g, lengths).join(bursts(g, tuple(s for s, _ in DUAL_PAIRS)), "node_id")
     columns: dict = {}
     for s, l in DUAL_PAIRS:  # noqa: E741
         for d in DIRECTIONS:

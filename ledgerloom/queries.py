@@ -16,6 +16,7 @@ from ledgerloom.operators import graph, pairs, rows, snapshot, windows
 from ledgerloom.oracles import FEATURE_ORACLES
 from ledgerloom.plans import metrics, profile
 from ledgerloom.sources import tables
+from ledgerloom.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +48,8 @@ def minimum_slice(g: GraphFrame) -> DataFrame:
 
 def psi_drift(g: GraphFrame) -> DataFrame:
     """Drift of the raw columns between nodes that became active before and from the middle day on."""
-    nodes = g.nodes.join(graph.activity(g), "node_id")
+    # Read for the middle day, the sketch, the brackets and the bins: written once, the columns that these need.
+    nodes = stored(g.nodes.join(graph.activity(g), "node_id").select("node_id", "first_active", *g.schema.raw_columns), "active-nodes")
     mid = int(nodes.agg(F.median("first_active")).first()[0] or 0)
     return profile.psi(nodes.filter(F.col("first_active") < mid), nodes.filter(F.col("first_active") >= mid), g.schema.raw_columns)
 
