@@ -1,4 +1,4 @@
-"""Kept artifacts, partial rewrites, runs in folders and JSON in text as queries, each with its SQL."""
+"""Kept artifacts, partial rewrites, runs in folders, JSON in text and a demonstration network as queries, each with its SQL."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ledgerloom import store_queries  # noqa: F401  its SQL is registered before
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions import texts
-from ledgerloom.more_queries import add, epochs
+from ledgerloom.more_queries import _u, add, epochs
 from ledgerloom.operators import graph, rows
 from ledgerloom.oracles import ORDERS, r6
-from ledgerloom.plans import profile
+from ledgerloom.plans import demo, metrics, profile
 from ledgerloom.queries import ORACLES, on_orders, register
 from ledgerloom.sources import artifacts, files, runs, tables
 from ledgerloom.sources.shared import shared_folder
@@ -106,3 +106,26 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("json_fields", json_fields)
 add("json_fields", f"SELECT c_custkey, CASE WHEN k THEN c_custkey END::BIGINT AS id, CASE WHEN k THEN c_name END AS name, {r6('CASE WHEN k THEN c_acctbal END', 'balance')}, CASE WHEN k THEN 'y' END AS tag, NULL::DOUBLE AS wrong, 'm' || c_nationkey AS model, 'u' || c_custkey AS url, 'id=' || c_custkey || '|kind=person|name=' || CASE c_nationkey % 2 WHEN 0 THEN c_name ELSE 'none' END AS summary FROM (SELECT *, c_nationkey % 5 <> 0 AND c_nationkey % 7 <> 0 AS k FROM customer)")
+
+
+# A demonstration network: the validation nodes as people, and all nodes' relations.
+def validation(g: GraphFrame) -> DataFrame:
+    return metrics.time_split(g).filter("part = 'val'").select("node_id")
+
+
+def demo_people(g: GraphFrame) -> DataFrame:
+    found = demo.people(graph.degrees(g), validation(g))
+    return found.select("node_id", "display_name", "id_number", "phone", "region", "occupation", F.col("features")["core_feature_00"].alias("first"), F.size("features").alias("shown"))
+
+
+on_orders("demo_people", demo_people)
+on_orders("demo_relations", lambda g: demo.relations(g, g.nodes.select("node_id")))
+_PICKED = lambda n: f"([{', '.join(repr(x) for x in demo.LISTS[n])}])[least(floor({_u(demo.SEEDS[n], 'node_id')} * {len(demo.LISTS[n])}), {len(demo.LISTS[n]) - 1})::INTEGER + 1]"
+_NUMBER = lambda n, a, b, d: f"lpad((least(floor({_u(demo.SEEDS[n], 'node_id')} * {b - a + 1}), {b - a}) + {a})::BIGINT::VARCHAR, {d}, '0')"
+_N = {n: _NUMBER(n, *x) for n, x in demo.NUMBERS.items()}
+_VAL = ORACLES["time_split"].replace("SELECT node_id, CASE WHEN y IN (0, 1) AND first_active >= d THEN", ", part AS (SELECT node_id, CASE WHEN y IN (0, 1) AND first_active >= d THEN") + ")"
+add(
+    "demo_people",
+    f"{_VAL}, dg AS (SELECT center, count(*) FILTER (dir = 'in') AS i FROM adj GROUP BY center) SELECT node_id, {_PICKED('family')} || {_PICKED('given')} AS display_name, {_PICKED('area')} || {_N['year']} || {_N['month']} || {_N['day']} || {_N['sequence']} || {_N['check']} AS id_number, '1' || {_PICKED('carrier')} || {_N['phone']} AS phone, {_PICKED('region')} AS region, {_PICKED('occupation')} AS occupation, {r6('coalesce(i, 0)', 'first')}, 5 AS shown FROM part LEFT JOIN dg ON center = node_id WHERE part = 'val'",
+)
+add("demo_relations", f"WITH {ORDERS} SELECT src AS source, dst AS target, 'rel_' || edge_type AS edge_type, day FROM edges WHERE src IN (SELECT node_id FROM nodes) AND dst IN (SELECT node_id FROM nodes)")

@@ -7,7 +7,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.contract import GraphFrame, GraphSchema
 from ledgerloom.functions import texts
+from ledgerloom.plans import demo
 from ledgerloom.sources import artifacts, files, runs
 
 
@@ -148,3 +150,28 @@ def test_headerless_tables(spark, tmp_path):
     (tmp_path / "none.csv").write_text("")
     with pytest.raises(ValueError):
         files.read_headerless(spark, str(tmp_path / "none.csv"))
+
+
+def test_invented_people_do_not_depend_on_partitions(spark):
+    features = spark.range(500).select(F.col("id").alias("node_id"), *[(F.col("id") * i).cast("double").alias(f"f{i}") for i in range(14)]).withColumn("f1", F.when(F.col("node_id") == 3, float("nan")).otherwise(F.col("f1")))
+    told = []
+    for parts in (1, 13):
+        for chosen in (spark.range(400).repartition(parts), spark.range(0, 400, 1, parts).union(spark.range(5))):
+            rows = demo.people(features.repartition(parts), chosen.withColumnRenamed("id", "node_id"), limit=100).collect()
+            told.append(sorted((r["node_id"], r["display_name"], r["id_number"], r["phone"], r["region"], r["occupation"]) for r in rows))
+            assert all(len(r["features"]) == 12 and (r["features"]["core_feature_01"] is None) == (r["node_id"] == 3) for r in rows)
+    assert told[0] == told[1] == told[2] == told[3] and [t[0] for t in told[0]] == list(range(100))
+    for _, name, number, phone, region, work in told[0]:
+        assert name[0] in demo.FAMILY_NAMES and name[1:] in demo.GIVEN_NAMES and region in demo.REGIONS and work in demo.OCCUPATIONS
+        assert len(number) == 18 and number[:6] in demo.AREAS and 1970 <= int(number[6:10]) <= 2004 and 1 <= int(number[10:12]) <= 12 and 1 <= int(number[12:14]) <= 28
+        assert len(phone) == 11 and phone[0] == "1" and phone[1] in demo.PHONES
+    assert len({t[2] for t in told[0]}) == 100
+
+
+def test_relations_of_a_demonstration(spark):
+    edges = [(1, 2, 1, 5), (2, 3, 2, 4), (1, 9, 1, 1), (2, 1, 1, 6)]
+    g = GraphFrame(spark.createDataFrame([(i, 0.0, 0) for i in range(10)], "node_id long, x0 double, y int"), spark.createDataFrame(edges, "src long, dst long, edge_type int, day int"), GraphSchema(raw=1, types=2))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "node_id long")
+    assert sorted(tuple(r) for r in demo.relations(g, ids(1, 2, 3)).collect()) == [(1, 2, "rel_1", 5), (2, 1, "rel_1", 6), (2, 3, "rel_2", 4)]
+    assert [tuple(r) for r in demo.relations(g, ids(1, 2, 3), limit=2).collect()] == [(1, 2, "rel_1", 5), (2, 3, "rel_2", 4)]
+    assert sorted(tuple(r) for r in demo.relations(g, ids(4, 6, 8)).collect()) == [(4, 6, "sequence", None), (6, 8, "sequence", None)]
