@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 #: The sketch's ranks are off by 1 / ACCURACY of the rows; brackets are twice as wide, and checked.
 ACCURACY = 10_000
 SLACK = 2.0 / ACCURACY
-RANGES = 64
+#: Rows that one task orders, and the most ranges that a running sum has.
+ROWS_A_RANGE, MOST_RANGES = 100_000, 1024
 
 
 def quantiles(rows: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()) -> dict[tuple, list[float]]:
@@ -64,18 +66,41 @@ def _inside(seen: DataFrame, by: Sequence[str], brackets: Mapping[tuple, tuple[f
     return out
 
 
-def running(counts: DataFrame, value: str, sums: Sequence[str], *, descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """counts with `upto_<column>` for each of `sums`: its sum over the rows up to and with this value. One row for each value.
+def ranges_for(rows: int, each: int = ROWS_A_RANGE, most: int | None = None) -> int:
+    """Into how many ranges so many rows are cut, if one is to have `each` of them or somewhat more."""
+    wanted = max(1, -(-rows // each))
+    return wanted if most is None else min(wanted, most)
 
-    Values are cut into ranges of about as many rows; a range's totals are summed apart, so no task orders all values.
+
+def range_of(value: str, cuts: Sequence) -> Column:
+    """How many of the ascending cuts are at most the value, null for null; beyond a few cuts in two steps, so that a row is compared with twice their root."""
+    upto = lambda list_: F.size(F.filter(list_, lambda c: c <= F.col(value)))
+    literal = lambda xs: F.array(*[F.lit(x) for x in xs])
+    if not cuts:
+        at = F.lit(0)
+    elif len(cuts) <= 32:
+        at = upto(literal(cuts))
+    else:
+        step = math.isqrt(len(cuts) - 1) + 1
+        block = upto(literal(cuts[::step]))
+        blocks = F.array(*[literal(cuts[i : i + step]) for i in range(0, len(cuts), step)])
+        at = F.when(block > 0, (block - 1) * step + upto(F.get(blocks, block - 1))).otherwise(0)
+    return F.when(F.col(value).isNotNull(), at)
+
+
+def running(counts: DataFrame, value: str, sums: Sequence[str], *, descending: bool = False, each: int = ROWS_A_RANGE) -> DataFrame:
+    """counts with `upto_<column>` for each of `sums`: its sum over the rows up to and with this value. One row for each value; null values are left out.
+
+    Values are cut into ranges of about `each` rows, MOST_RANGES at most, as many as the rows ask for; a range's totals are summed apart, so
+    no task orders all values.
     """
-    cuts = counts.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("c")).first()["c"] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + ((F.col(value) < c) if descending else (F.col(value) >= c)).cast("int")
-    dealt = counts.withColumn("_part", part)
+    found = counts.select(F.percentile_approx(value, [i / MOST_RANGES for i in range(1, MOST_RANGES)], ACCURACY).alias("c"), F.count(value).alias("n")).first()
+    step = MOST_RANGES // ranges_for(found["n"], each, MOST_RANGES)
+    cuts = sorted(set((found["c"] or [])[step - 1 :: step]))
+    part = range_of(value, cuts)
+    dealt = counts.filter(F.col(value).isNotNull()).withColumn("_part", F.lit(len(cuts)) - part if descending else part)
     totals = dealt.groupBy("_part").agg(*[F.sum(s).alias(f"_t{s}") for s in sums])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `ranges` rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = totals.select("_part", *[F.coalesce(F.sum(f"_t{s}").over(before), F.lit(0)).alias(f"_s{s}") for s in sums])
     inside = Window.partitionBy("_part").orderBy(_order(value, descending)).rowsBetween(Window.unboundedPreceding, 0)
     run = dealt.select("*", *[F.sum(s).over(inside).alias(f"_i{s}") for s in sums]).join(F.broadcast(starts), "_part")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.contract import FRAUD, NORMAL, GraphFrame
 from ledgerloom.operators.graph import incident
+from ledgerloom.operators.ranks import ranges_for, running
 from ledgerloom.operators.weights import relation_id
+from ledgerloom.operators.windows import node_time_bucket
 
 
 def draw(seed: int, *columns: str) -> Column:
@@ -168,10 +170,11 @@ def background_negatives(g: GraphFrame, activity: DataFrame, positives: DataFram
 def balanced_batches(rows: DataFrame, per_class: Mapping[int, int], seed: int, y: str = "y", key: str = "node_id") -> DataFrame:
     """(key, y, batch): each batch has per_class[c] rows of class c, in seeded order; the scarcest class bounds the batches.
 
-    Classes are cut into ranges of their draws before they are numbered, so that no task orders a whole class.
+    Classes are cut into ranges of their draws before they are numbered, as many as there are rows for, so that no task orders a whole class.
     """
-    kept = rows.filter(F.col(y).isin(*per_class)).select(key, y, draw(seed, key).alias("_u")).withColumn("_part", F.floor(F.col("_u") * 256))
-    sizes = kept.groupBy(y, "_part").agg(F.count(F.lit(1)).alias("_n"))  # at most 257 rows for each class
+    kept = rows.filter(F.col(y).isin(*per_class)).select(key, y, draw(seed, key).alias("_u"))
+    kept = kept.withColumn("_part", F.floor(F.col("_u") * ranges_for(kept.count())))
+    sizes = kept.groupBy(y, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each class and range
     starts = sizes.select(y, "_part", F.coalesce(F.sum("_n").over(Window.partitionBy(y).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(y)).alias("_all"))
     own = F.row_number().over(Window.partitionBy(y, "_part").orderBy("_u", key)) - 1
     ranked = kept.withColumn("_own", own).join(F.broadcast(starts), [y, "_part"])
@@ -183,10 +186,21 @@ def balanced_batches(rows: DataFrame, per_class: Mapping[int, int], seed: int, y
     return numbered_rows.crossJoin(F.broadcast(batches)).filter(F.col("batch") < F.col("_most")).select(key, y, F.col("batch").cast("long").alias("batch"))
 
 
+def time_partitions(g: GraphFrame, size: int = 64, seed: int = 13) -> DataFrame:
+    """(node_id, time_bucket, batch): each bucket's nodes in seeded order, `size` to a batch; ordered in ranges of their draws."""
+    nodes = node_time_bucket(g).select("node_id", "time_bucket").withColumn("_u", draw(seed, "node_id"))
+    parts = nodes.withColumn("_part", F.floor(F.col("_u") * ranges_for(g.nodes.count())).cast("int"))
+    sizes = parts.groupBy("time_bucket", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("time_bucket", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("time_bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("time_bucket", "_part").orderBy("_u", "node_id")) - 1
+    placed = parts.withColumn("_own", own).join(F.broadcast(starts), ["time_bucket", "_part"])  # a row for each bucket and range
+    return placed.select("node_id", "time_bucket", F.floor((F.col("_start") + F.col("_own")) / size).cast("long").alias("batch"))
+
+
 def visual_slice(g: GraphFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    """The first nodes by id, a share of all, and the edges between them."""
+    """The first nodes by id, a share of all, and the edges between them; nodes are counted in ranges, not ordered by one task."""
     n = math.ceil(g.nodes.count() * share)
-    kept = g.nodes.select("node_id").orderBy("node_id").limit(n)
+    kept = running(g.nodes.select("node_id", F.lit(1).alias("n")), "node_id", ["n"]).filter(F.col("upto_n") <= n).select("node_id")
     return kept, induced(g.edges, kept)
 
 

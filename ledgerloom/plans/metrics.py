@@ -18,13 +18,13 @@ from ledgerloom.sources.shared import stored
 CUTS = (0.80, 0.75, 0.70, 0.65, 0.60, 0.55)
 
 
-def thresholds(scored: DataFrame, ranges: int = 64) -> DataFrame:
+def thresholds(scored: DataFrame) -> DataFrame:
     """(score, p, n, tp, fp): positives and negatives at each distinct score, and at it or above.
 
     scored is (y, score); rows whose y isn't 0 or 1, or without a score, don't count.
     """
     counts = scored.filter(F.col("y").isin(0, 1) & F.col("score").isNotNull()).groupBy("score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    run = running(counts, "score", ["p", "n"], descending=True, ranges=ranges)
+    run = running(counts, "score", ["p", "n"], descending=True)
     return run.select("score", "p", "n", F.col("upto_p").alias("tp"), F.col("upto_n").alias("fp"))
 
 

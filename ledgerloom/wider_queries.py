@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame
@@ -177,18 +177,7 @@ on_events("negatives", lambda g: sampling.negatives(*pools(g), "bucket", 11))
 on_orders("background_negatives", wanted_background)
 on_events("visual_slice", lambda g: sampling.visual_slice(g, 0.5)[1])
 on_orders("pooled_rows", lambda g: sampling.labelled_nodes(g).unionByName(g.nodes.filter(F.col("y").isin(*g.schema.background)).select("node_id", "y")))
-on_orders("time_partitions", lambda g: time_partitions(g))
-
-
-def time_partitions(g: GraphFrame, size: int = 64) -> DataFrame:
-    """(node_id, time_bucket, batch): each bucket's nodes in seeded order, `size` to a batch."""
-    nodes = windows.node_time_bucket(g).select("node_id", "time_bucket").withColumn("_u", sampling.draw(13, "node_id"))
-    parts = nodes.withColumn("_part", F.floor(F.col("_u") * 256).cast("int"))
-    sizes = parts.groupBy("time_bucket", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("time_bucket", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("time_bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("time_bucket", "_part").orderBy("_u", "node_id")) - 1
-    placed = parts.withColumn("_own", own).join(F.broadcast(starts), ["time_bucket", "_part"])  # at most 257 rows a bucket
-    return placed.select("node_id", "time_bucket", F.floor((F.col("_start") + F.col("_own")) / size).cast("long").alias("batch"))
+on_orders("time_partitions", sampling.time_partitions)
 
 
 _WEIGHTS = "w AS (SELECT rel_id, w / avg(w) OVER () AS w FROM (SELECT rel_id, 1 / sqrt(count(*)) AS w FROM seen GROUP BY 1))"

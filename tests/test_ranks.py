@@ -4,6 +4,7 @@ import random
 from itertools import accumulate
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ranks
@@ -37,11 +38,22 @@ def test_medians_leave_out_columns_without_a_value(spark):
     assert ranks.medians(rows, {}) == {}
 
 
-def test_running_sums_in_ranges(spark):
+@pytest.mark.parametrize("each", [7, 100, 100_000])
+def test_running_sums_in_ranges(spark, each):
     counts = [(float(i), i % 5) for i in range(3000)]
     table = spark.createDataFrame(counts, "v double, n long").repartition(5)
-    up = {r["v"]: r["upto_n"] for r in ranks.running(table, "v", ["n"]).collect()}
+    up = {r["v"]: r["upto_n"] for r in ranks.running(table, "v", ["n"], each=each).collect()}
     assert up == dict(zip([v for v, _ in counts], accumulate(n for _, n in counts), strict=True))
-    down = {r["v"]: r["upto_n"] for r in ranks.running(table, "v", ["n"], descending=True).collect()}
+    down = {r["v"]: r["upto_n"] for r in ranks.running(table, "v", ["n"], descending=True, each=each).collect()}
     assert down == dict(zip([v for v, _ in reversed(counts)], accumulate(n for _, n in reversed(counts)), strict=True))
     assert ranks.running(table.limit(0), "v", ["n"]).count() == 0
+    gaps = table.unionByName(spark.createDataFrame([(None, 5)], "v double, n long"))
+    assert ranks.running(gaps, "v", ["n"], each=each).count() == len(counts)
+
+
+def test_ranges_follow_the_rows(spark):
+    assert [ranks.ranges_for(n, 100) for n in (0, 1, 100, 101, 10_000)] == [1, 1, 1, 2, 100] and ranks.ranges_for(10**9, 100, 50) == 50
+    rows = spark.createDataFrame([(float(v),) for v in range(-5, 1100)] + [(None,)], "v double")
+    for cuts in ([], [3.0], list(map(float, range(20))), list(map(float, range(0, 1000, 3)))):
+        got = rows.select("v", ranks.range_of("v", cuts).alias("r")).collect()
+        assert all(r["r"] == (None if r["v"] is None else sum(c <= r["v"] for c in cuts)) for r in got)
