@@ -175,3 +175,30 @@ def object_id(position: C, owner: C) -> Column:
 def expired(created: C, now: C, minutes: int) -> Column:
     """Whether so many minutes have passed since a timestamp."""
     return col(created) + F.expr(f"INTERVAL {minutes} MINUTES") <= col(now)
+
+
+# What columns are called by number, and by the first group of words of which one is in the name.
+NUMBERED_NAMES = ("近期交易活跃度", "交易金额波动", "邻域风险关联", "资金流入流出偏移", "交易时间规律", "账户行为稳定性", "跨区域流转强度", "对手方集中度", "短期交易频次变化", "资金链路深度", "账户画像偏移", "历史行为一致性", "社群关联密度", "异常金额占比", "短期行为突增", "风险邻居暴露")
+NAMES_BY_WORD = (
+    (("amount", "amt", "value", "money", "balance"), "交易金额特征"),
+    (("count", "freq", "frequency", "degree", "num"), "交易频次特征"),
+    (("time", "hour", "day", "window", "period"), "时间行为特征"),
+    (("region", "city", "area", "geo"), "地域流转特征"),
+    (("neighbor", "edge", "graph", "relation"), "关系网络特征"),
+    (("in", "out", "flow"), "资金流向特征"),
+    (("risk", "fraud", "label"), "历史风险特征"),
+    (("device", "ip", "account"), "账户环境特征"),
+)
+OTHER_NAME = "业务行为特征"
+
+
+def shown_name(name: C) -> Column:
+    """What a column is called for users: numbered features by the last number in the name, names with Chinese characters as they are, others by a word in them."""
+    text, lower = F.trim(col(name)), F.lower(F.trim(col(name)))
+    digits = F.nullif(F.regexp_extract(lower, r"(\d+)\D*$", 1), F.lit(""))
+    at = F.pmod(digits.cast("decimal(38,0)"), F.lit(len(NUMBERED_NAMES))).cast("int")
+    numbered = (F.startswith(lower, F.lit("feature_")) | F.startswith(lower, F.lit("core_feature_"))) & digits.isNotNull()
+    out = F.when(numbered, F.get(F.array(*[F.lit(x) for x in NUMBERED_NAMES]), at)).when(has_cjk(text), text)
+    for words, shown in NAMES_BY_WORD:
+        out = out.when(lower.rlike("|".join(words)), shown)
+    return out.otherwise(OTHER_NAME)

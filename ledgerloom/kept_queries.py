@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom import store_queries  # noqa: F401  its SQL is registered before
 from ledgerloom.contract import GraphFrame
-from ledgerloom.functions import texts
+from ledgerloom.functions import scalar, texts
 from ledgerloom.more_queries import _u, add, epochs
-from ledgerloom.operators import graph, rows
-from ledgerloom.oracles import ORDERS, r6
+from ledgerloom.operators import graph, impute, rows
+from ledgerloom.oracles import ORDERS, RAW, r6
 from ledgerloom.plans import demo, metrics, profile
 from ledgerloom.queries import ORACLES, on_orders, register
 from ledgerloom.sources import artifacts, files, runs, tables
@@ -129,3 +129,43 @@ add(
     f"{_VAL}, dg AS (SELECT center, count(*) FILTER (dir = 'in') AS i FROM adj GROUP BY center) SELECT node_id, {_PICKED('family')} || {_PICKED('given')} AS display_name, {_PICKED('area')} || {_N['year']} || {_N['month']} || {_N['day']} || {_N['sequence']} || {_N['check']} AS id_number, '1' || {_PICKED('carrier')} || {_N['phone']} AS phone, {_PICKED('region')} AS region, {_PICKED('occupation')} AS occupation, {r6('coalesce(i, 0)', 'first')}, 5 AS shown FROM part LEFT JOIN dg ON center = node_id WHERE part = 'val'",
 )
 add("demo_relations", f"WITH {ORDERS} SELECT src AS source, dst AS target, 'rel_' || edge_type AS edge_type, day FROM edges WHERE src IN (SELECT node_id FROM nodes) AND dst IN (SELECT node_id FROM nodes)")
+
+
+# Reports of a split, profiles of training rows, names for users, and forced gaps.
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of each customer's nation and number."""
+    c = tables.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
+    words = F.array(*[F.lit(x) for x in (" Core_Feature_", "feature_x", "Amount", "风险 amount", "midday", "cities", "edge_", "OUT_", "riskier", "device", "zzz", "degree_of_risk")])
+    name = F.concat(F.get(words, (F.col("c_nationkey") % 12).cast("int")), F.when(F.col("c_nationkey") % 12 == 1, F.lit("")).otherwise(F.col("c_custkey").cast("string")))
+    return c.select("c_custkey", scalar.shown_name(name).alias("shown"))
+
+
+def gaps(g: GraphFrame) -> DataFrame:
+    """x0 and x1 missing in some of the training nodes that lack x0, until 0.05 values are missing in each on average; x2 is the degree throughout."""
+    rows_ = g.nodes.select("node_id", "x0", "x1", "x2", (F.col("x0") == -1.0).alias("filled"))
+    made = impute.missing_to_target(rows_, ["x0", "x1", "x2"], metrics.time_split(g).filter("part = 'train'").select("node_id"), 0.05, filled="filled", keep=["x2"])
+    return impute.with_degrees(made, graph.degrees(g), {"x2": "outdegree"}).select("node_id", "x0", "x1", "x2")
+
+
+on_orders("split_report", metrics.split_report)
+on_orders("feature_profile_train", lambda g: profile.feature_profile(g, metrics.time_split(g).filter("part = 'train'")))
+on_orders("largest_gaps", lambda g: profile.largest_gaps(g, 2))
+register("shown_names", named)
+on_orders("missing_to_target", gaps)
+_PART = ORACLES["time_split"].replace("SELECT node_id, CASE WHEN y IN (0, 1) AND first_active >= d THEN", ", part AS (SELECT node_id, y, first_active, CASE WHEN y IN (0, 1) AND first_active >= d THEN") + ")"
+add("split_report", f"{_PART} SELECT part, count(*)::BIGINT AS size, count(*) FILTER (y = 1)::BIGINT AS positive_count, {r6('count(*) FILTER (y = 1) / count(*)', 'positive_rate')}, {r6('median(first_active)', 'first_active_median')} FROM part GROUP BY part")
+_QS = {f"q{round(100 * q):02d}": q for q in profile.QUANTILES}
+_TRAINED = lambda q: f"quantile_cont(value, {q}) FILTER (part = 'train')"
+add(
+    "feature_profile_train",
+    f"{_PART}, long AS (SELECT n.y, p.part, unnest({list(RAW)}) AS feature, unnest([{', '.join(f'n.{c}::DOUBLE' for c in RAW)}]) AS value FROM nodes n JOIN part p ON p.node_id = n.node_id) SELECT feature, {r6('avg(value)', 'mean')}, {r6('stddev_pop(value)', 'std')}, {r6('avg(value) FILTER (y = 0)', 'normal_mean')}, {r6('avg(value) FILTER (y = 1)', 'fraud_mean')}, {r6('abs(avg(value) FILTER (y = 1) - avg(value) FILTER (y = 0))', 'mean_gap')}, {r6('avg(CASE WHEN value = -1 THEN 1.0 ELSE 0.0 END)', 'missing_ratio')}, {', '.join(r6(f'quantile_cont(value, {q})', n) for n, q in _QS.items())}, {', '.join(r6(_TRAINED(q), f'train_{n}') for n, q in _QS.items())} FROM long GROUP BY feature",
+)
+add("largest_gaps", f"SELECT feature, mean_gap FROM ({ORACLES['feature_profile']}) ORDER BY mean_gap DESC, feature LIMIT 2")
+_WORDS = ["amount", "", "交易金额特征", "", "时间行为特征", "业务行为特征", "关系网络特征", "资金流向特征", "历史风险特征", "账户环境特征", "业务行为特征", "交易频次特征"]
+add("shown_names", f"SELECT c_custkey, CASE c_nationkey % 12 WHEN 0 THEN ({list(scalar.NUMBERED_NAMES)})[c_custkey % 16 + 1] WHEN 1 THEN '业务行为特征' WHEN 3 THEN '风险 amount' || c_custkey ELSE ({_WORDS})[(c_nationkey % 12)::INTEGER + 1] END AS shown FROM customer")
+add(
+    "missing_to_target",
+    f"""{_PART}, tr AS (SELECT n.* FROM nodes n JOIN part p ON p.node_id = n.node_id AND p.part = 'train'), w AS (SELECT round_even(0.05 * count(*) / 2, 0)::BIGINT AS n FROM tr), f AS (SELECT * FROM tr WHERE x0 = -1 OR (SELECT count(*) FROM tr WHERE x0 = -1) = 0),
+h AS (SELECT node_id FROM f QUALIFY row_number() OVER (ORDER BY abs(x0) + abs(x1) + abs(x2), node_id) <= (SELECT n FROM w)), d AS (SELECT center, count(*) FILTER (dir = 'out') AS o FROM adj GROUP BY center)
+SELECT n.node_id, {r6('CASE WHEN n.node_id IN (SELECT * FROM h) THEN -1 ELSE x0 END', 'x0')}, {r6('CASE WHEN n.node_id IN (SELECT * FROM h) THEN -1 ELSE x1 END', 'x1')}, {r6('coalesce(o, 0)', 'x2')} FROM nodes n LEFT JOIN d ON center = n.node_id""",
+)

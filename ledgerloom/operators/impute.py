@@ -195,3 +195,29 @@ def forced_missing(nodes: DataFrame, columns: Sequence[str], n: int, key: str =
     chosen = nodes.filter(whole).select(F.col(key).alias("_key"), total.alias("_l1")).orderBy("_l1", "_key").limit(n).select("_key", F.lit(True).alias("_hit"))
     joined = nodes.join(chosen, F.col(key) == F.col("_key"), "left")
     return joined.select(*[F.when(F.col("_hit"), F.lit(MISSING)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in nodes.columns])
+
+
+def with_degrees(rows: DataFrame, degrees: DataFrame, columns: dict[str, str], key: str = "node_id") -> DataFrame:
+    """rows whose named columns are replaced by columns of degrees (key, ...), in every row that has one there."""
+    found = degrees.select(F.col(key).alias("_key"), *[F.col(d).cast("double").alias(f"_d_{c}") for c, d in columns.items()])
+    joined = rows.join(found, F.col(key) == F.col("_key"), "left")
+    return joined.select(*[F.coalesce(f"_d_{c}", F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def missing_to_target(rows: DataFrame, columns: Sequence[str], train: DataFrame, mean: float, *, filled: str, keep: Sequence[str] = (), key: str = "node_id") -> DataFrame:
+    """rows with the columns marked missing in as many training rows as bring their mean count of missing values to `mean`.
+
+    Of the training rows (key) whose column `filled` is true, those of smallest absolute sum are taken, ties by key; of
+    all training rows, if none was filled. keep: columns that stay as they are, which don't count.
+    """
+    marked = [c for c in columns if c not in keep]
+    wanted = max(round(mean * train.count() / max(len(marked), 1)), 0)
+    if mean <= 0 or not wanted:
+        return rows
+    own = rows.join(train.select(key), key, "left_semi")
+    filled_rows = own.filter(F.coalesce(F.col(filled), F.lit(False)))
+    own = own if filled_rows.isEmpty() else filled_rows
+    total = F.aggregate(F.array(*[F.abs(F.col(c).cast("double")) for c in columns]), F.lit(0.0), lambda a, x: a + x)
+    chosen = own.select(F.col(key).alias("_key"), total.alias("_l1")).orderBy("_l1", "_key").limit(wanted).select("_key", F.lit(True).alias("_hit"))
+    joined = rows.join(chosen, F.col(key) == F.col("_key"), "left")
+    return joined.select(*[F.when(F.col("_hit"), F.lit(MISSING)).otherwise(F.col(c)).alias(c) if c in marked else F.col(c) for c in rows.columns])

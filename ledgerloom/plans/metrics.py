@@ -68,6 +68,18 @@ def time_split(g: GraphFrame) -> DataFrame:
     return rows.select("node_id", F.when(labelled & (day >= theta), "val").when(labelled, "train").when(F.col("y") == -100, "test_pool").otherwise("external").alias("part"))
 
 
+def split_report(g: GraphFrame) -> DataFrame:
+    """(part, size, positive_count, positive_rate, first_active_median) of a split by time; an error unless the validation nodes' median is later than the training nodes'."""
+    rows = stored(time_split(g).join(g.nodes.select("node_id", "y"), "node_id").join(activity(g).select("node_id", "first_active"), "node_id"), "split-rows")
+    # Days are few, so a median of them is a map of few counts.
+    found = rows.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("y") == FRAUD).alias("positive_count"), F.median("first_active").alias("first_active_median"))
+    out = found.select("part", "size", "positive_count", (F.col("positive_count") / F.col("size")).alias("positive_rate"), "first_active_median")
+    middle = {r["part"]: r["first_active_median"] for r in out.filter("part in ('train', 'val')").collect()}
+    if not middle.get("val", 0) > middle.get("train", 0):
+        raise ValueError(f"the validation nodes don't become active later than the training nodes: {middle}")
+    return out
+
+
 def threshold_day(rows: DataFrame) -> int:
     labelled = rows.filter(F.col("y").isin(NORMAL, FRAUD))
     quantiles = labelled.agg(F.percentile("first_active", F.array(*[F.lit(c) for c in CUTS]))).first()[0]

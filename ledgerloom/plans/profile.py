@@ -43,8 +43,8 @@ def overview(g: GraphFrame) -> DataFrame:
     return out
 
 
-def feature_profile(g: GraphFrame) -> DataFrame:
-    """For each raw column: mean, deviation, class means and their gap, missing share, and quantiles."""
+def feature_profile(g: GraphFrame, train: DataFrame | None = None) -> DataFrame:
+    """For each raw column: mean, deviation, class means and their gap, missing share, and quantiles; with train (node_id), those of its rows too, as train_q.."""
     rows = unpivoted(g.nodes, g.schema.raw_columns, "y")
     of = lambda y: F.avg(F.when(F.col("y") == y, F.col("value")))
     found = rows.groupBy("feature").agg(
@@ -58,7 +58,16 @@ def feature_profile(g: GraphFrame) -> DataFrame:
     cuts = quantiles(rows, "value", QUANTILES, ["feature"])
     table = _small(g, [(c, *v) for (c,), v in cuts.items()], "feature string, " + ", ".join(f"{n} double" for n in names))
     gap = F.abs(F.col("fraud_mean") - F.col("normal_mean")).alias("mean_gap")
-    return found.join(table, "feature", "left").select("feature", "mean", "std", "normal_mean", "fraud_mean", gap, "missing_ratio", *names)
+    out = found.join(table, "feature", "left").select("feature", "mean", "std", "normal_mean", "fraud_mean", gap, "missing_ratio", *names)
+    if train is None:
+        return out
+    own = quantiles(unpivoted(g.nodes.join(train.select("node_id"), "node_id", "left_semi"), g.schema.raw_columns), "value", QUANTILES, ["feature"])
+    return out.join(_small(g, [(c, *v) for (c,), v in own.items()], "feature string, " + ", ".join(f"train_{n} double" for n in names)), "feature", "left")
+
+
+def largest_gaps(g: GraphFrame, k: int = 4) -> DataFrame:
+    """The k raw columns with the largest gap between the classes' means."""
+    return feature_profile(g).select("feature", "mean_gap").orderBy(F.col("mean_gap").desc_nulls_last(), "feature").limit(k)
 
 
 def _small(g: GraphFrame, rows: list[tuple], kinds: str) -> DataFrame:
@@ -168,8 +177,8 @@ def cumulative_distribution(df: DataFrame, value: str) -> DataFrame:
     return running(counts, "value", ["n"]).select("value", (F.col("upto_n") / F.greatest(F.lit(counts.agg(F.sum("n")).first()[0] or 0), F.lit(1))).alias("cdf"))
 
 
-def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """(feature, psi), largest first: the population stability index over the reference's decile bins.
+def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins: int = 10, top: int | None = None) -> DataFrame:
+    """(feature, psi), largest first: the population stability index over the reference's decile bins; the first `top`, or all.
 
     Values of `current` outside the reference's range aren't counted.
     """
@@ -190,7 +199,8 @@ def psi(reference: DataFrame, current: DataFrame, columns: Sequence[str], bins:
     totals = filled.groupBy("feature").agg(F.greatest(F.sum("p"), F.lit(1)).alias("tp"), F.greatest(F.sum("q"), F.lit(1)).alias("tq"))
     share = lambda n, t: F.greatest(F.col(n) / F.col(t), F.lit(1e-6))
     terms = filled.join(totals, "feature").select("feature", ((share("p", "tp") - share("q", "tq")) * F.ln(share("p", "tp") / share("q", "tq"))).alias("t"))
-    return terms.groupBy("feature").agg(F.sum("t").alias("psi")).orderBy(F.col("psi").desc(), "feature")
+    ranked = terms.groupBy("feature").agg(F.sum("t").alias("psi")).orderBy(F.col("psi").desc(), "feature")
+    return ranked if top is None else ranked.limit(top)
 
 
 def observed_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
