@@ -1,7 +1,8 @@
 """Search a stated query set against all rows in blocks.
 
-Candidates are dealt into blocks of bounded bytes by a hash; each block is indexed once, in one
-task, and the queries, a copy of which goes to every block, stream past it. A block returns each
+Candidates are dealt into blocks of bounded bytes by a hash; a block is indexed in one
+task, and the queries, a copy of which goes to every block, stream past it. With fewer blocks than cores a block goes to several
+tasks, each of which indexes it and has a part of the queries: what a query is told never depends on how many tasks there are. A block returns each
 query's best rows, which are merged by rank. Neither side is broadcast or collected, and what is
 copied is the query set, not the table.
 """
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of a block's components, as doubles.
 BLOCK_BYTES = 1 << 25
-#: Blocks at least, where each has rows enough to be worth a task: work for several executors.
-LEAST_BLOCKS, WORTH = 12, 512
 
 #: (query ids, query vectors) -> positions of queries, ids of candidates, scores.
 Ask = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -46,18 +45,21 @@ def search(vectors: DataFrame, build: Build, *, every: int, k: int, score: str)
     on), and none of these rows is its answer; repeats among candidates are listed each.
     """
     rows = vectors.filter(F.col("vec_id").isNotNull()).select("vec_id", "v", F.size("v").alias("dims"))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dims"), F.lit(0)).alias("cells")).first()
-    blocks = max(1, -(-8 * size["cells"] // BLOCK_BYTES), min(LEAST_BLOCKS, size["n"] // WORTH))
+    cells = rows.agg(F.coalesce(F.sum("dims"), F.lit(0))).first()[0]
+    blocks = max(1, -(-8 * cells // BLOCK_BYTES))
+    splits = -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks)
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
-    queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dims", F.lit(1).alias("asks"), "vec_id", "v")
-    candidates = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), "dims", F.lit(0).alias("asks"), "vec_id", "v")
+    dealt = lambda key, n: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = asked.select(each(blocks).alias("block"), dealt(["vec_id"], splits).alias("split"), "dims", F.lit(1).alias("asks"), "vec_id", "v")
+    candidates = rows.select(dealt(["vec_id", "v"], blocks).alias("block"), each(splits).alias("split"), "dims", F.lit(0).alias("asks"), "vec_id", "v")
     names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.int64() if score == "long" else pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of (block, dims, asks, vec_id): a block's candidates, then all queries."""
+        """Rows come in order of (block, split, dims, asks, vec_id): a block's candidates, then the queries of the split."""
         now, held, ask = None, [], None
         for batch in batches:
-            order = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            order = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
             cuts = [0, *(np.nonzero((order[1:] != order[:-1]).any(axis=1))[0] + 1).tolist(), len(order)]
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
                 if start == end:
@@ -70,14 +72,14 @@ def search(vectors: DataFrame, build: Build, *, every: int, k: int, score: str)
                     held.append(part)
                     continue
                 if held and ask is None:
-                    ask = build(np.concatenate([x.column(3).to_numpy() for x in held]), np.concatenate([matrix(x.column(4)) for x in held]))
+                    ask = build(np.concatenate([x.column(4).to_numpy() for x in held]), np.concatenate([matrix(x.column(5)) for x in held]))
                     held = held[:1]
                 if ask is not None:
-                    own = part.column(3).to_numpy()
-                    at, found, scores = ask(own, matrix(part.column(4)))
+                    own = part.column(4).to_numpy()
+                    at, found, scores = ask(own, matrix(part.column(5)))
                     yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(found), pa.array(scores, kinds[2])], names=names)
 
-    dealt = candidates.unionByName(queries).repartition(blocks, "block", "dims").sortWithinPartitions("block", "dims", "asks", "vec_id")
-    parts = dealt.mapInArrow(run, f"query_id long, vec_id long, score {score}")
+    met = candidates.unionByName(queries).repartition(blocks * splits, "block", "split", "dims").sortWithinPartitions("block", "split", "dims", "asks", "vec_id")
+    parts = met.mapInArrow(run, f"query_id long, vec_id long, score {score}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return parts.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
