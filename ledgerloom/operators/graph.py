@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.contract import GraphFrame
 from ledgerloom.functions.scalar import safe_ratio
 from ledgerloom.operators import scales
+from ledgerloom.sources.shared import large
 
 RECENT_WINDOWS = (3, 7, 14, 30)
 
@@ -36,14 +37,14 @@ def labelled(g: GraphFrame) -> DataFrame:
     """The adjacency with the label of the far end, null if it isn't a node."""
     if g.adjacency is not None:
         return g.adjacency
-    far = g.nodes.select(F.col("node_id").alias("neighbor"), F.col("y").alias("far_y"))
+    far = large(g.nodes.select(F.col("node_id").alias("neighbor"), F.col("y").alias("far_y")))
     return incident(g).join(far, "neighbor", "left")
 
 
 def complete(nodes: DataFrame, found: DataFrame, defaults: Mapping[str, Column | float] | float = 0.0, key: str = "center") -> DataFrame:
     """A row for each node: what was found, or the defaults."""
     names = [c for c in found.columns if c != key]
-    base = nodes.select("node_id").join(found, F.col("node_id") == found[key], "left")
+    base = nodes.select("node_id").join(large(found), F.col("node_id") == found[key], "left")
     value = lambda n: defaults[n] if isinstance(defaults, Mapping) else defaults
     return base.select("node_id", *[F.coalesce(F.col(n), value(n) if isinstance(value(n), Column) else F.lit(value(n)).cast(found.schema[n].dataType)).alias(n) for n in names])
 

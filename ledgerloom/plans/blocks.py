@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame
 from ledgerloom.operators import gram, graph, impute, pairs, ranks, rows, snapshot, windows
-from ledgerloom.sources.shared import shared_folder
+from ledgerloom.sources.shared import large, stored, stored_graph
 
 #: Operators by name; each gives a row for each node.
 SOURCES: dict[str, Callable[[GraphFrame], DataFrame]] = {
@@ -169,17 +168,6 @@ def _source(g: GraphFrame, name: str) -> DataFrame:
     return out.withColumnRenamed("tb30_log_bg_total_z", "tb30_log_bg_total_count_z")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, f"block-{name}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def stored(g: GraphFrame) -> GraphFrame:
-    """The graph from tables written once, so that each operator reads edges, not what they were made of."""
-    return replace(g, nodes=_written(g.nodes, "nodes"), edges=_written(g.edges, "edges"), facts={}, adjacency=None)
-
-
 def resolve(profile: str, extra: Sequence[str] = ()) -> list[str]:
     """The groups of a profile, then extra ones that it doesn't have."""
     if profile not in PROFILES:
@@ -195,8 +183,8 @@ def features(g: GraphFrame, groups: Sequence[str], train: DataFrame | None = Non
     wanted: list[str] = []
     for name in groups:
         wanted += ["aux"] if name == "utpm_aux_label" else [] if name == "utpm_attr_proj" else (PADDED.get(name) or PLAIN[name])[0]
-    g = stored(g)
-    made = {s: _written(_source(g, s), s) for s in dict.fromkeys(wanted)}
+    g = stored_graph(g)
+    made = {s: large(stored(_source(g, s), f"block-{s}")) for s in dict.fromkeys(wanted)}
     wide, held = g.nodes.select("node_id"), {"node_id"}
     for source in made.values():
         fresh = [c for c in source.columns if c not in held]

@@ -13,7 +13,7 @@ from ledgerloom.contract import FRAUD, NORMAL, GraphFrame
 from ledgerloom.functions.scalar import log_loss
 from ledgerloom.operators.graph import activity
 from ledgerloom.operators.ranks import running
-from ledgerloom.sources.shared import stored
+from ledgerloom.sources.shared import large, stored
 
 CUTS = (0.80, 0.75, 0.70, 0.65, 0.60, 0.55)
 
@@ -65,7 +65,7 @@ def time_split(g: GraphFrame) -> DataFrame:
     rows = stored(g.nodes.select("node_id", "y").join(activity(g).select("node_id", "first_active"), "node_id"), "active-labels")
     day, theta = F.col("first_active"), threshold_day(rows)
     labelled = F.col("y").isin(NORMAL, FRAUD)
-    return rows.select("node_id", F.when(labelled & (day >= theta), "val").when(labelled, "train").when(F.col("y") == -100, "test_pool").otherwise("external").alias("part"))
+    return large(rows).select("node_id", F.when(labelled & (day >= theta), "val").when(labelled, "train").when(F.col("y") == -100, "test_pool").otherwise("external").alias("part"))
 
 
 def split_report(g: GraphFrame) -> DataFrame:
