@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.gram import Moments, moments, none
 from ledgerloom.operators.ranks import medians, quantiles
+from ledgerloom.sources.shared import stored
 
 MISSING = -1.0
 
@@ -63,6 +64,8 @@ def affine_fill(nodes: DataFrame, target: str, predictors: Sequence[str], *, siz
     How many is chosen on the rows of the latest step that have the target: highest R2, then lowest error; without
     a step column it is the smallest size. Values stay above 0 if all observed are; whole: rounded to integers.
     """
+    # Read for the ranking, each number of predictors, the last fit and the result.
+    nodes = stored(nodes.select(*dict.fromkeys(["node_id", target, *predictors, *([] if step is None else [step])])), "affine-rows")
     known = nodes.filter(seen(target).isNotNull())
     order = ranked_predictors(known, target, predictors)
     options = sorted({min(k, len(order)) for k in sizes})

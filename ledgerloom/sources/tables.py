@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.contract import GraphFrame, GraphSchema
+from ledgerloom.sources.shared import large
 
 ORDERS = GraphSchema(raw=3, types=6, background=(2, 3), strong_pairs=((0, 1),))
 EVENTS = GraphSchema(raw=1, types=5)
@@ -41,19 +42,20 @@ def _days(ts, origin: str):
 
 def orders_graph(spark: SparkSession, sf_dir: str) -> GraphFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
-    edges = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
-        customer_id(F.col("o_custkey")).alias("src"),
+    # An item is made an edge's numbers before the join, so that no text is shuffled; orders are as many as customers' edges, so they are merged at any size.
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
         (F.col("l_suppkey") + SUPPLIERS_FROM).alias("dst"),
         _code(F.concat("l_returnflag", "l_linestatus"), ORDER_TYPES).alias("edge_type"),
         _days(F.col("l_shipdate"), "1995-01-01").alias("day"),
     )
+    edges = items.join(large(orders), items.l_orderkey == orders.o_orderkey).select(customer_id(F.col("o_custkey")).alias("src"), "dst", "edge_type", "day")
     known = lambda x: F.when(x < 0, F.lit(-1.0)).otherwise(x)
     placed = orders.groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     segment = F.col("c_mktsegment")
     label = F.when(segment == "BUILDING", 1).when(segment.isin("MACHINERY", "AUTOMOBILE"), 0).when(segment == "HOUSEHOLD", 2).otherwise(-100)
     customer = table(spark, sf_dir, "customer")
-    customers = customer.join(placed, customer.c_custkey == placed.c, "left").select(
+    customers = customer.join(large(placed), customer.c_custkey == placed.c, "left").select(
         customer_id(F.col("c_custkey")).alias("node_id"), known(F.col("c_acctbal")).alias("x0"), F.col("c_nationkey").cast("double").alias("x1"), F.coalesce("n", F.lit(0.0)).alias("x2"), label.alias("y")
     )
     suppliers = table(spark, sf_dir, "supplier").select(

@@ -23,3 +23,21 @@ def test_profiles_broadcast_no_rows_of_nodes(spark, small_dir):
     for groups, train in ((COMPACT, None), (blocks.resolve("m1_tabular", ["utpm_attr_proj", "time"]), train_nodes(g))):
         wide = plan(blocks.features(g, groups, train)[0])
         assert "SortMergeJoin" in wide and "BroadcastHashJoin" not in wide
+
+
+def counted(spark, df, column):
+    """df with a column that passes through Python, and how many of its rows were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(pass_on, df.schema[column].dataType).asNondeterministic()(column)), seen
+
+
+def test_edges_are_joined_by_merging_and_without_text(spark, small_dir):
+    edges = plan(tables.orders_graph(spark, small_dir).edges)
+    assert "SortMergeJoin" in edges and "Broadcast" not in edges
+    project = edges.index("SortMergeJoin")
+    assert "Project" in edges[project:] and "AS edge_type" in edges[project:]
