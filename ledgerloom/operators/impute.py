@@ -153,6 +153,8 @@ def ridge_holdout_fill(nodes: DataFrame, targets: Sequence[str], predictors: Seq
     from ledgerloom.operators.sampling import draw
 
     report, values = [], {}
+    # Read for the facts, the quantiles, the medians, the sums and the result.
+    nodes = stored(nodes.select(*dict.fromkeys(["node_id", *targets, *predictors, step])), "ridge-rows")
     for target in targets:
         known = nodes.filter(seen(target).isNotNull())
         facts = known.agg(F.count(F.lit(1)).alias("n"), F.max(step).alias("last"), F.min(target).alias("low"), F.max(target).alias("high")).first()

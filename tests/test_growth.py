@@ -41,3 +41,10 @@ def test_edges_are_joined_by_merging_and_without_text(spark, small_dir):
     assert "SortMergeJoin" in edges and "Broadcast" not in edges
     project = edges.index("SortMergeJoin")
     assert "Project" in edges[project:] and "AS edge_type" in edges[project:]
+
+
+@pytest.mark.parametrize("fill", [lambda n: impute.affine_fill(n, "t", ["a", "b"], step="step"), lambda n: impute.ridge_holdout_fill(n, ["t"], ["a", "b"], "step", least_train=5, least_valid=1, least_fit=5)[0]])
+def test_fills_compute_their_rows_once(spark, fill):
+    rows = [(i, float(i % 7) if i % 5 else -1.0, float(i % 7), float(i % 3), i % 4) for i in range(100)]
+    nodes, seen = counted(spark, spark.createDataFrame(rows, "node_id long, t double, a double, b double, step int"), "a")
+    assert fill(nodes).count() == 100 and seen.value == 100
