@@ -13,6 +13,7 @@ from ledgerloom.operators import graph, impute, sampling
 from ledgerloom.oracles import EVENTS, ORDERS, RAW, r6
 from ledgerloom.plans import blocks, metrics, models, report
 from ledgerloom.queries import ORACLES, on_orders, register
+from ledgerloom.sources.shared import stored, stored_graph
 from ledgerloom.streaming import windows as streams
 
 
@@ -118,7 +119,9 @@ add(
 def baseline(g: GraphFrame, of) -> DataFrame:
     """ROC AUC and the like of a baseline on the validation nodes; degrees are its columns."""
     columns = ["x0", "x1", "x2", "indegree", "outdegree"]
+    g = stored_graph(g)
     rows = impute.constant_fill(g.nodes, ["x0", "x1", "x2"]).join(graph.degrees(g), "node_id").join(g.nodes.select("node_id", "y"), "node_id").join(metrics.time_split(g), "node_id")
+    rows = stored(rows.select("node_id", "y", "part", *columns), "baseline-rows")  # a learner reads them many times
     return metrics.metrics(of(rows.filter("part = 'train'"), rows.filter("part = 'val'"), columns).select("y", "score"))
 
 
