@@ -16,7 +16,7 @@ from ledgerloom.operators import graph, pairs, rows, snapshot, windows
 from ledgerloom.oracles import FEATURE_ORACLES
 from ledgerloom.plans import metrics, profile
 from ledgerloom.sources import tables
-from ledgerloom.sources.shared import stored
+from ledgerloom.sources.shared import stored, stored_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,8 +31,10 @@ def register(name: str, of: Callable[[SparkSession, str], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: rounded(of(spark, sf_dir))
 
 
-def on_orders(name: str, operator: Callable[[GraphFrame], DataFrame]) -> None:
-    register(name, lambda spark, sf_dir: operator(tables.orders_graph(spark, sf_dir)))
+def on_orders(name: str, operator: Callable[[GraphFrame], DataFrame], kept: bool = False) -> None:
+    """kept: the graph is written once, for an operator that reads its edges several times."""
+    made = (lambda *at: stored_graph(tables.orders_graph(*at))) if kept else tables.orders_graph
+    register(name, lambda spark, sf_dir: operator(made(spark, sf_dir)))
 
 
 def on_events(name: str, operator: Callable[[GraphFrame], DataFrame]) -> None:
@@ -54,6 +56,8 @@ def psi_drift(g: GraphFrame) -> DataFrame:
     return profile.psi(nodes.filter(F.col("first_active") < mid), nodes.filter(F.col("first_active") >= mid), g.schema.raw_columns)
 
 
+#: What reads the edges more than once: for windows, first days, counts and the last day.
+KEPT = ("snapshot_block", "snapshot_recent", "snapshot_relation_recent", "early_activity", "neighbor_profile", "snapshot_neighbor_profile", "relation_core")
 on_orders("minimum_slice", minimum_slice)
 for _name, _operator in {
     "graph_degree": graph.degrees,
@@ -96,7 +100,7 @@ for _name, _operator in {
     "value_windows": lambda g: profile.value_windows(g.nodes, "x2", 4),
     "cumulative_distribution": lambda g: profile.cumulative_distribution(g.nodes, "x2"),
 }.items():
-    on_orders(_name, _operator)
+    on_orders(_name, _operator, kept=_name in KEPT)
 for _name, _operator in {
     "unique_multi_edges": graph.unique_multi_edges,
     "partner_concentration": pairs.partner_concentration,

@@ -48,3 +48,12 @@ def test_fills_compute_their_rows_once(spark, fill):
     rows = [(i, float(i % 7) if i % 5 else -1.0, float(i % 7), float(i % 3), i % 4) for i in range(100)]
     nodes, seen = counted(spark, spark.createDataFrame(rows, "node_id long, t double, a double, b double, step int"), "a")
     assert fill(nodes).count() == 100 and seen.value == 100
+
+
+@pytest.mark.parametrize("name", queries.KEPT)
+def test_queries_join_edges_once(spark, small_dir, name, monkeypatch):
+    g = tables.orders_graph(spark, small_dir)
+    n = g.edges.count()
+    edges, seen = counted(spark, g.edges, "day")
+    monkeypatch.setattr(tables, "orders_graph", lambda *_: replace(g, edges=edges, facts={}))
+    assert queries.QUERIES[name](spark, small_dir).count() == 160 and seen.value == n
