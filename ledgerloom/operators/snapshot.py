@@ -9,11 +9,15 @@ from ledgerloom.contract import GraphFrame
 from ledgerloom.functions.scalar import missing, safe_ratio
 from ledgerloom.operators import scales
 from ledgerloom.operators.graph import _background, _dir, activity, complete, counted, incident, labelled
+from ledgerloom.operators.ranks import ranges_for
 from ledgerloom.operators.windows import node_time_bucket
+from ledgerloom.sources.shared import large
 
 SNAPSHOT_RECENT = (14, 60)
 SNAPSHOT_TYPES = 30
 EARLY = (7, 30)
+#: Edge ends that a task joins to their far ends for a profile.
+PROFILE_ROWS = 1_000_000
 
 
 def _at_snapshot(g: GraphFrame, adj: DataFrame) -> DataFrame:
@@ -88,8 +92,10 @@ def early_activity(g: GraphFrame, windows: tuple[int, ...] = EARLY, types_window
 
 def _profile(g: GraphFrame, adj: DataFrame, prefix: str) -> DataFrame:
     raw = g.schema.raw_columns
-    far = g.nodes.select(F.col("node_id").alias("neighbor"), *raw)
-    seen = adj.join(far, "neighbor")
+    far = large(g.nodes.select(F.col("node_id").alias("neighbor"), *raw))
+    # Parts of so many rows each, not of so many bytes: a few bytes of a shuffle become a wide row of each center in a task's memory.
+    parts = max(ranges_for(2 * g.edges.count(), PROFILE_ROWS), g.nodes.sparkSession.sparkContext.defaultParallelism)
+    seen = adj.repartition(parts, "neighbor").join(far, "neighbor")
     kinds = (("mean", lambda c, d: F.avg(F.when(_dir(d), F.col(c)))), ("max", lambda c, d: F.max(F.when(_dir(d), F.col(c)))), ("missing_ratio", lambda c, d: F.avg(F.when(_dir(d), missing(c)))))
     wanted = [f(c, d).alias(f"{prefix}{d}_neighbor_{k}_{c}") for k, f in kinds for d in ("in", "out") for c in raw]
     return complete(g.nodes, seen.groupBy("center").agg(*wanted))

@@ -57,3 +57,10 @@ def test_queries_join_edges_once(spark, small_dir, name, monkeypatch):
     edges, seen = counted(spark, g.edges, "day")
     monkeypatch.setattr(tables, "orders_graph", lambda *_: replace(g, edges=edges, facts={}))
     assert queries.QUERIES[name](spark, small_dir).count() == 160 and seen.value == n
+
+
+def test_a_profile_is_cut_by_rows(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(snapshot, "PROFILE_ROWS", 100)
+    g = tables.orders_graph(spark, small_dir)
+    wanted = -(-2 * g.edges.count() // 100)
+    assert "hashpartitioning(neighbor#" in plan(snapshot.neighbor_profile(g)) and f", {wanted}), REPARTITION_BY_NUM" in plan(snapshot.neighbor_profile(g))
