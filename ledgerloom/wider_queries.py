@@ -143,7 +143,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.average_predictions(files.read_predictions(spark.read.json(path)))
 
 
-on_orders("phase_files", phase_files)
+on_orders("phase_files", phase_files, kept=True)
 register("delimited_files", delimited)
 register("average_predictions", predictions)
 add("phase_files", per_node(ORDERS, _deg, {"indegree": "i", "outdegree": "o"}))
