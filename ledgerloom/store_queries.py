@@ -42,7 +42,7 @@ def archive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.average_predictions(archives.read_predictions(spark, path))
 
 
-on_orders("archive_phase", archive_phase)
+on_orders("archive_phase", archive_phase, kept=True)
 register("archive_predictions", archive_predictions)
 _DEGREES = "d AS (SELECT center, count(*) FILTER (dir = 'in') AS i, count(*) FILTER (dir = 'out') AS o FROM adj GROUP BY center)"
 add("archive_phase", f"WITH {ORDERS}, {_DEGREES} SELECT node_id, {r6('x0', 'x0')}, {r6('x1', 'x1')}, {r6('x2', 'x2')}, y, {r6('coalesce(i, 0)', 'indegree')}, {r6('coalesce(o, 0)', 'outdegree')}, y IN (0, 1) AS train_mask, y = -100 AS test_mask FROM nodes LEFT JOIN d ON center = node_id")

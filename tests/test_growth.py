@@ -50,7 +50,7 @@ def test_fills_compute_their_rows_once(spark, fill):
     assert fill(nodes).count() == 100 and seen.value == 100
 
 
-@pytest.mark.parametrize("name", [*queries.KEPT, "phase_files"])
+@pytest.mark.parametrize("name", [*queries.KEPT, "phase_files", "archive_phase"])
 def test_queries_join_edges_once(spark, small_dir, name, monkeypatch):
     g = tables.orders_graph(spark, small_dir)
     n = g.edges.count()
