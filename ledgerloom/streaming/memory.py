@@ -27,9 +27,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def held(value: Column, of: Callable[[Column], Column]) -> Column:
+    """What `of` makes of a value that is computed once for a row, not for each element that it is used for."""
+    return F.transform(F.array(value), of)[0]
+
+
 def unit(v: Column) -> Column:
     """v at length one."""
-    return F.transform(v, lambda x: x / F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)))
+    return held(F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)), lambda length: F.transform(v, lambda x: x / length))
 
 
 def blend(parts: list[tuple[Column, Column]]) -> Column:
@@ -98,9 +103,9 @@ def classified(rows: DataFrame, memory: DataFrame) -> DataFrame:
     lists = memory.groupBy("bucket").agg(F.collect_list(F.struct("label", "v")).alias("_memories"))
     common = lists.filter(F.col("bucket") == GLOBAL).select(F.lit(1).alias("_one"), F.col("_memories").alias("_common"))
     joined = rows.join(lists.filter(F.col("bucket") != GLOBAL), "bucket", "left").withColumn("_one", F.lit(1)).join(common, "_one", "left")
-    near = F.transform(F.coalesce("_memories", "_common"), lambda p: F.struct(dot(unit(F.col("v")), p["v"]).alias("cosine"), (-p["label"]).alias("label")))
-    best = F.array_max(near)
-    return joined.select(*[F.col(c) for c in rows.columns], (-best["label"]).alias("label_pred"), best["cosine"].alias("cosine"))
+    near = lambda u: F.transform(F.coalesce("_memories", "_common"), lambda p: F.struct(dot(u, p["v"]).alias("cosine"), (-p["label"]).alias("label")))
+    best = joined.select(*[F.col(c) for c in rows.columns], held(unit(F.col("v")), lambda u: F.array_max(near(u))).alias("_best"))
+    return best.select(*[F.col(c) for c in rows.columns], (-F.col("_best.label")).alias("label_pred"), F.col("_best.cosine").alias("cosine"))
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:

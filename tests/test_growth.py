@@ -72,3 +72,12 @@ def test_a_profile_is_cut_by_rows(spark, small_dir, monkeypatch):
     g = tables.orders_graph(spark, small_dir)
     wanted = -(-2 * g.edges.count() // 100)
     assert "hashpartitioning(neighbor#" in plan(snapshot.neighbor_profile(g)) and f", {wanted}), REPARTITION_BY_NUM" in plan(snapshot.neighbor_profile(g))
+
+
+def test_a_unit_takes_its_length_once(spark):
+    text = str(memory.unit(F.col("v")))
+    assert text.count("sqrt") == 1 and "array(" in text
+    rows = spark.createDataFrame([(0, [3.0, 4.0]), (0, [0.0, 0.0])], "bucket int, v array<double>")
+    assert sorted(r[0] for r in rows.select(memory.unit(F.col("v"))).collect()) == [[0.0, 0.0], [0.6, 0.8]]
+    held = spark.createDataFrame([(0, 0, [0.0, 1.0], 1), (0, 1, [1.0, 0.0], 1), (-1, 0, [1.0, 0.0], 2)], memory.SCHEMA)
+    assert plan(memory.classified(rows, held)).count("greatest") == 1
