@@ -24,7 +24,7 @@ def toml_block(text: Column, section: str) -> Column:
 def balanced_object(text: Column) -> Column:
     """The first object in a text: from its first brace to the brace that closes it, those in strings aside; null if there is none.
 
-    One fold over the characters; quotes and backslashes are those of JSON.
+    One fold over braces, quotes, backslashes and what stands between them; quotes and backslashes are those of JSON.
     """
     rest = F.substr(text, F.locate("{", text))
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(False).alias("done"))
@@ -36,13 +36,14 @@ def balanced_object(text: Column) -> Column:
             depth.alias("depth"),
             F.when((c == '"') & ~s["escaped"], plain).otherwise(s["quoted"]).alias("quoted"),
             (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"),
-            (s["n"] + 1).alias("n"),
+            (s["n"] + F.length(c)).alias("n"),
             (depth == 0).alias("done"),
         )
         return F.when(s["done"], s).otherwise(after)
 
-    end = F.aggregate(F.split(rest, ""), start, step)
-    return F.when(F.locate("{", text) > 0, F.when(end["done"], F.substr(rest, F.lit(1), end["n"])))
+    end = F.aggregate(F.regexp_extract_all(rest, F.lit(r'[{}"\\]|[^{}"\\]+'), 0), start, step)
+    whole = F.transform(F.array(end), lambda e: F.when(e["done"], F.substr(rest, F.lit(1), e["n"])))[0]  # one fold for both of its uses
+    return F.when(F.locate("{", text) > 0, whole)
 
 
 def parsed(text: Column) -> Column:

@@ -81,3 +81,15 @@ def test_a_unit_takes_its_length_once(spark):
     assert sorted(r[0] for r in rows.select(memory.unit(F.col("v"))).collect()) == [[0.0, 0.0], [0.6, 0.8]]
     held = spark.createDataFrame([(0, 0, [0.0, 1.0], 1), (0, 1, [1.0, 0.0], 1), (-1, 0, [1.0, 0.0], 2)], memory.SCHEMA)
     assert plan(memory.classified(rows, held)).count("greatest") == 1
+
+
+def test_objects_are_read_by_tokens(spark):
+    texts_ = ['x {"a": "}\\" {", "b": {"c": 1}} {', "{", '{"a', "none", 'é{"k": "\\\\"}z', '\n{\n"a":\n1}', '{"a\\', "", None]
+    wanted = ['{"a": "}\\" {", "b": {"c": 1}}', None, None, None, '{"k": "\\\\"}', '{\n"a":\n1}', None, None, None]
+    df = spark.createDataFrame(list(enumerate(texts_)), "i int, t string").withColumn("o", texts.balanced_object(F.col("t")))
+    assert [r["o"] for r in df.orderBy("i").collect()] == wanted
+    assert "regexp_extract_all" in plan(df) and plan(df).count("aggregate(") == 1
+
+
+def test_json_rows_are_dealt_to_all_cores(spark, small_dir):
+    assert "Exchange hashpartitioning(c_custkey" in plan(queries.QUERIES["json_fields"](spark, small_dir))
