@@ -156,3 +156,22 @@ def test_long_lines_and_pages(spark):
     rows = [(i, "h", f"{long}\n{'y' * 500_000}\nown {i}") for i in range(2)] + [(9, "h", "own 9")]
     got = {r["page_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, host string, text string, lines_dropped int")).collect()}
     assert got == {0: "own 0", 1: "own 1", 9: "own 9"}
+
+
+def test_new_pieces_are_encoded_together(public, monkeypatch):
+    """A short piece has no table of its own, however many are new; bounds of any size give the same ids."""
+    draw, tables = random.Random(5), []
+    parts = ["the", "and", "ción", "ß", "qu", "é", "x", "東京", "ing", "😀", "ы"]
+    texts = ["", *[" ".join("".join(draw.choices(parts, k=draw.randint(1, 9))) for _ in range(draw.randint(0, 400))) for _ in range(60)], "é" * 128, "é" * 128 + "x", "", "\0 \0\0a", "the " * 700]
+    made = bpe.Prefixes.__init__
+    monkeypatch.setattr(bpe.Prefixes, "__init__", lambda self, *a: (tables.append(a[1]), made(self, *a))[1])
+    want = [public.encode_ordinary(x) for x in texts]
+    known = bpe.Vocabulary.load(PATH, public_tokenizers.PATTERN)
+    assert [known.encode(x).tolist() for x in texts] == want and tables == ["éééé".encode() * 32 + b"x"]
+    for name, least in (("MEMORY", 4), ("PIECES", 7), ("LONG", 100), ("TOGETHER", 30)):
+        monkeypatch.setattr(bpe, name, least)
+    small = bpe.Vocabulary(known.ranks, public_tokenizers.PATTERN, keep=50)
+    assert [x.tolist() for x in small.encode_all(texts)] == want
+    assert [small.decode(x).decode() for x in want] == texts and small.decimal(known.encode(texts[1])).decode() == ",".join(map(str, want[1]))
+    with pytest.raises(KeyError):
+        small.decode([-1])
